@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from .common import BoundedCache, chunks, file_bytes, texts
 
 #: Blanks as the pre-tokenizer knows them, and what its pieces never begin in the midst of: a blank run with what follows.
-WHITE = "\t-\r \x85\xa0  -     　"
+WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 AFTER_WHITE = re.compile(f"[{WHITE}] ")
 SEGMENT = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 CACHE_SEGMENTS, CACHE_CHARS = 600_000, 48
