@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, line_dedup, packing, quality_rules, sentencepiece_codec, token_counts, toxicity
+from . import fingerprints, language_id, line_dedup, packing, pii, quality_rules, sentencepiece_codec, token_counts, toxicity
 from .common import table
 
 
@@ -32,6 +32,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
@@ -45,7 +49,11 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_corpus(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_with_edit(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sentencepiece, op2_packing, op3_line_dedup, op4_token_counts, op6_language_id, op7_quality_rules, op8_toxicity)
+    f.__name__: f for f in (op1_sentencepiece, op2_packing, op3_line_dedup, op4_token_counts, op5_pii, op6_language_id, op7_quality_rules, op8_toxicity, op10_fingerprints)
 }
 SQL: dict[str, str] = {}
