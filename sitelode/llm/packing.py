@@ -19,13 +19,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from .common import BoundedCache, chunks, file_bytes, texts
 
+#: The byte-level alphabet: printable Latin-1 bytes stand for themselves, the others for the code points from 256 on.
+PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+ALPHABET = {b: b for b in PRINTABLE} | {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(PRINTABLE)))}
+
 #: Blanks as the pre-tokenizer knows them, and what its pieces never begin in the midst of: a blank run with what follows.
 WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: The pre-tokenizer's own pattern.
+PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+".replace(r"\s", f"[{WHITE}]").replace(r"\S", f"[^{WHITE}]").replace(rf"[^[{WHITE}]", f"[^{WHITE}")
 AFTER_WHITE = re.compile(f"[{WHITE}] ")
 SEGMENT = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 CACHE_SEGMENTS, CACHE_CHARS = 600_000, 48
@@ -39,8 +46,18 @@ class ByteTokens:
 
         self.library = Tokenizer.from_buffer(spec)
         self.added = {str(t.content): i for i, t in self.library.get_added_tokens_decoder().items()}
+        self.pattern = regex.compile(PRE_TOKEN)
+        self.model = self.library.model
         self.cache = BoundedCache(CACHE_SEGMENTS)
 
+    def ids(self, segment: str) -> bytes:
+        """Ids of one segment: its pre-tokens in the byte-level alphabet, each through the file's merges."""
+        out: list[int] = []
+        for p in self.pattern.findall(segment):
+            p = p.replace(" ", "\u0120") if p.isascii() and p.isprintable() else p.encode().decode("latin-1").translate(ALPHABET)
+            out += [t.id for t in self.model.tokenize(p)]
+        return np.array(out, "<u4").tobytes()
+
     def segments(self, text: str) -> list[str]:
         if AFTER_WHITE.search(text):
             return SEGMENT.findall(text)
@@ -55,7 +72,7 @@ class ByteTokens:
         cache.room(len(met))
         known = cache
         if new := list(met.difference(cache)):
-            found = {s: np.array(e.ids, "<u4").tobytes() for s, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True)}
+            found = {s: self.ids(s) for s in new}
             cache.update((s, b) for s, b in found.items() if len(s) <= CACHE_CHARS)
             if long := {s: b for s, b in found.items() if len(s) > CACHE_CHARS}:
                 known = {s: cache[s] for s in met if s not in long} | long

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, language_id, line_dedup, packing, pii, quality_rules, sentencepiece_codec, token_counts, toxicity
+from . import fingerprints, jaccard_join, language_id, line_dedup, packing, pii, quality_rules, sentencepiece_codec, token_counts, toxicity
 from .common import table
 
 
@@ -49,11 +49,15 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_corpus(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(table(spark, sf_dir, "documents"))
+
+
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_with_edit(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sentencepiece, op2_packing, op3_line_dedup, op4_token_counts, op5_pii, op6_language_id, op7_quality_rules, op8_toxicity, op10_fingerprints)
+    f.__name__: f for f in (op1_sentencepiece, op2_packing, op3_line_dedup, op4_token_counts, op5_pii, op6_language_id, op7_quality_rules, op8_toxicity, op9_jaccard_join, op10_fingerprints)
 }
 SQL: dict[str, str] = {}
