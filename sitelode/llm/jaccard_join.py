@@ -354,3 +354,10 @@ def join(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> Dat
     whole = sets.join(groups.withColumnRenamed("node", "class"), "class", "left").withColumn("_group", F.coalesce("component", "class"))
     smallest = whole.where("class is not null").groupBy("_group").agg(F.min("doc_id").alias("component_id"))
     return whole.join(smallest, "_group", "left").select("doc_id", "n_shingles", "class", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """The rows of docs, all columns as they are, without those that link, directly or over others, to a smaller id."""
+    gone = kept(join(docs, text_col, id_col).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct())
+    few = gone.count() <= BROADCAST_PAIRS
+    return docs.join(F.broadcast(gone) if few else gone, docs[id_col].cast("long") == F.col("_gone"), "left_anti")

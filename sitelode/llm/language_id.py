@@ -127,13 +127,17 @@ class Profiles:
         return self.langs[best], float(1 - distance[best] / (self.depth * len(own)))
 
 
-def predict(docs: DataFrame, learned: DataFrame, max_n: int = MAX_N, depth: int = DEPTH, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """(doc_id, lang_pred, score), given profiles. They are `depth` rows a language, and the number of languages is checked."""
-    spark = docs.sparkSession
+def _sent(docs: DataFrame, learned: DataFrame, depth: int):
+    """Profiles as a broadcast: `depth` rows a language, and the number of languages is checked."""
     rows = learned.limit(MAX_LANGUAGES * depth + 1).collect()
     if len(rows) > MAX_LANGUAGES * depth:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    sent = spark.sparkContext.broadcast([tuple(r) for r in rows])
+    return docs.sparkSession.sparkContext.broadcast([tuple(r) for r in rows])
+
+
+def predict(docs: DataFrame, learned: DataFrame, max_n: int = MAX_N, depth: int = DEPTH, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """(doc_id, lang_pred, score), given profiles."""
+    sent = _sent(docs, learned, depth)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Profiles(sent.value, max_n, depth)
@@ -145,6 +149,20 @@ def predict(docs: DataFrame, learned: DataFrame, max_n: int = MAX_N, depth: int
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
+def accepted(docs: DataFrame, learned: DataFrame, min_score: float = 0.0, max_n: int = MAX_N, depth: int = DEPTH, text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns as they are, whose language can be told with at least min_score."""
+    sent = _sent(docs, learned, depth)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = Profiles(sent.value, max_n, depth)
+        for batch in batches:
+            for part in chunks(batch):
+                told = [model.predict(t) for t in part.column(text_col).to_pylist()]
+                yield part.filter(pa.array([x != UNDETERMINED and s >= min_score for x, s in told], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def identify(docs: DataFrame, max_n: int = MAX_N, depth: int = DEPTH) -> DataFrame:
     """(doc_id, held_out, lang_pred, score): learned from the rows of `docs` that aren't held out, predicted for all."""
     learned = profiles(docs.where(~held_out()), max_n, depth)

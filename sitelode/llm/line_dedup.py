@@ -226,50 +226,70 @@ def _rows(drop):
     return n_lines, n_dropped, kept
 
 
-def dedup(docs: DataFrame, refs: DataFrame, min_docs: int = 10, shards: int = 256, broadcast_bytes: int = 256_000_000, text_col: str = "text", id_col: str = "doc_id", as_text: bool = True) -> DataFrame:
-    """(doc_id, n_lines, n_dropped, and text, or kept_sha256 if not as_text), given the reference counts of a corpus.
+SHAPES = {"text": "doc_id long, n_lines long, n_dropped long, text string", "digest": "doc_id long, n_lines long, n_dropped long, kept_sha256 string"}
 
+
+def _emitter(shape: str, names: list[str], text_col: str):
+    """What becomes of a batch, given for each text its lines and which of them go."""
+
+    def emit(part: pa.RecordBatch, drops: list) -> pa.RecordBatch:
+        n, d, kept_texts = _rows(drops)
+        if shape == "rows":
+            sizes = pa.array([len(t) for t in kept_texts], pa.int64())
+            old = part.column(text_col)
+            new = pa.array([t if m else o for t, m, o in zip(kept_texts, d, old.to_pylist(), strict=True)], pa.string())
+            return pa.RecordBatch.from_arrays([new if c == text_col else sizes.cast(part.column(c).type) if c == "n_chars" else part.column(c) for c in names], names=names)
+        last = kept_texts if shape == "text" else [hashlib.sha256(t.encode()).hexdigest() for t in kept_texts]
+        return pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(d, pa.int64()), pa.array(last, pa.string())], names=["doc_id", "n_lines", "n_dropped", "text" if shape == "text" else "kept_sha256"])
+
+    return emit
+
+
+def dedup(docs: DataFrame, refs: DataFrame, min_docs: int = 10, shards: int = 256, broadcast_bytes: int = 256_000_000, text_col: str = "text", id_col: str = "doc_id", shape: str = "text") -> DataFrame:
+    """Documents without the lines that are frequent by the reference counts of a corpus.
+
+    shape: "text" gives (doc_id, n_lines, n_dropped, text), "digest" kept_sha256 in place of the text, "rows" the rows and
+    columns of docs with the text, and n_chars where there is one, brought up to date.
     refs should be a written table: it is read three times.
     """
     spark = docs.sparkSession
     frequent = refs.where(F.col("n_docs") >= min_docs)
-    last = "text" if as_text else "kept_sha256"
-    ddl = f"doc_id long, n_lines long, n_dropped long, {last} string"
-    finish = (lambda t: t) if as_text else (lambda t: hashlib.sha256(t.encode()).hexdigest())
-    table = texts(docs, text_col, id_col)
+    if shape == "rows":
+        table, at = docs, text_col
+        ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    else:
+        table, at, ddl = texts(docs, text_col, id_col), "text", SHAPES[shape]
+    emit = _emitter(shape, docs.columns, at)
     bytes_needed = 4 * frequent.count() + 64 * shards  # two bytes a slot, at worst half filled
     if bytes_needed > broadcast_bytes:
-        return _joined(table, frequent.select("key"), ddl, finish)
+        return _joined(table, at, frequent.select("key"), ddl, emit)
     sent = spark.sparkContext.broadcast([(r[0], bytes(r[1])) for r in filters(refs, min_docs).select("shard", "table").collect()])
-    wrong = false_claims(refs, sent, min_docs, shards)
-    listed = [bytes(r[0]) for r in wrong.limit(broadcast_bytes // 64 + 1).collect()]
+    listed = [bytes(r[0]) for r in false_claims(refs, sent, min_docs, shards).limit(broadcast_bytes // 64 + 1).collect()]
     if len(listed) > broadcast_bytes // 64:
-        return _joined(table, frequent.select("key"), ddl, finish)
+        return _joined(table, at, frequent.select("key"), ddl, emit)
     exceptions = spark.sparkContext.broadcast(frozenset(listed))
-    schema = pa.schema([("doc_id", pa.int64()), ("n_lines", pa.int64()), ("n_dropped", pa.int64()), (last, pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, never = _tables(sent.value), exceptions.value
         for batch in batches:
             for part in chunks(batch):
-                split = [(t or "").split("\n") for t in part.column("text").to_pylist()]
+                split = [(t or "").split("\n") for t in part.column(at).to_pylist()]
                 names = [line_key(x) for lines in split for x in lines]
                 ids = list(map(digest, names))
                 claimed = _probe(held, halves(ids), shards)
                 gone = [bool(c) and bool(k) and i not in never for c, k, i in zip(claimed.tolist(), names, ids, strict=True)]
-                drops, at = [], 0
+                drops, n = [], 0
                 for lines in split:
-                    drops.append((lines, gone[at : at + len(lines)]))
-                    at += len(lines)
-                n, d, kept = _rows(drops)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(d, pa.int64()), pa.array([finish(t) for t in kept], pa.string())], schema=schema)
+                    drops.append((lines, gone[n : n + len(lines)]))
+                    n += len(lines)
+                yield emit(part, drops)
 
     return table.mapInArrow(run, ddl)
 
 
-def _joined(table: DataFrame, frequent: DataFrame, ddl: str, finish) -> DataFrame:
+def _joined(table: DataFrame, at: str, frequent: DataFrame, ddl: str, emit) -> DataFrame:
     """The same without anything broadcast: each row's distinct keys meet the frequent keys, and go back to the row."""
-    numbered = table.withColumn("row", F.monotonically_increasing_id())
+    numbered = kept(table.withColumn("_row", F.monotonically_increasing_id()))
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -277,22 +297,21 @@ def _joined(table: DataFrame, frequent: DataFrame, ddl: str, finish) -> DataFram
                 pairs = [(r, digest(k)) for r, t in zip(part.column("row").to_pylist(), part.column("text").to_pylist(), strict=True) for k in sorted(set(map(line_key, (t or "").split("\n")))) if k]
                 yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in pairs], pa.int64()), pa.array([k for _, k in pairs], pa.binary())], names=["row", "key"])
 
-    hits = numbered.mapInArrow(keys, "row long, key binary").join(frequent.hint("shuffle_merge"), "key").groupBy("row").agg(F.collect_list("key").alias("keys"))
-    schema = pa.schema([(f.split()[0], pa.string() if f.endswith("string") else pa.int64()) for f in ddl.split(", ")])
+    hits = numbered.select(F.col("_row").alias("row"), F.col(at).alias("text")).mapInArrow(keys, "row long, key binary")
+    hits = hits.join(frequent.hint("merge"), "key").groupBy("row").agg(F.collect_list("key").alias("_keys"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch):
                 drops = []
-                for t, ks in zip(part.column("text").to_pylist(), part.column("keys").to_pylist(), strict=True):
+                for t, ks in zip(part.column(at).to_pylist(), part.column("_keys").to_pylist(), strict=True):
                     lines, hot = (t or "").split("\n"), set(ks or ())
                     drops.append((lines, [bool(k := line_key(x)) and digest(k) in hot for x in lines] if hot else [False] * len(lines)))
-                n, d, kept = _rows(drops)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(d, pa.int64()), pa.array([finish(t) for t in kept], pa.string())], schema=schema)
+                yield emit(part, drops)
 
-    return numbered.join(hits, "row", "left").select("doc_id", "text", "keys").mapInArrow(run, ddl)
+    return numbered.join(hits, numbered["_row"] == hits["row"], "left").drop("row", "_row").mapInArrow(run, ddl)
 
 
-def dedup_corpus(docs: DataFrame, min_docs: int = 10, shards: int = 256, as_text: bool = True, **kw) -> DataFrame:
+def dedup_corpus(docs: DataFrame, min_docs: int = 10, shards: int = 256, shape: str = "text", broadcast_bytes: int = 256_000_000, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """dedup() of a table against its own counts. The counts are written to the checkpoint folder once."""
-    return dedup(docs, kept(references(docs, shards, **{k: v for k, v in kw.items() if k.endswith("_col")})), min_docs, shards, as_text=as_text, **kw)
+    return dedup(docs, kept(references(docs, shards, text_col, id_col)), min_docs, shards, broadcast_bytes, text_col, id_col, shape)

@@ -25,7 +25,7 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.dedup_corpus(table(spark, sf_dir, "documents"), as_text=False)
+    return line_dedup.dedup_corpus(table(spark, sf_dir, "documents"), shape="digest")
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
