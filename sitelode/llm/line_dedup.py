@@ -298,7 +298,7 @@ def _joined(table: DataFrame, at: str, frequent: DataFrame, ddl: str, emit) -> D
                 yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in pairs], pa.int64()), pa.array([k for _, k in pairs], pa.binary())], names=["row", "key"])
 
     hits = numbered.select(F.col("_row").alias("row"), F.col(at).alias("text")).mapInArrow(keys, "row long, key binary")
-    hits = hits.join(frequent.hint("merge"), "key").groupBy("row").agg(F.collect_list("key").alias("_keys"))
+    hits = hits.join(frequent.hint("merge"), "key").groupBy(F.col("row").alias("_hit")).agg(F.collect_list("key").alias("_keys"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -309,7 +309,7 @@ def _joined(table: DataFrame, at: str, frequent: DataFrame, ddl: str, emit) -> D
                     drops.append((lines, [bool(k := line_key(x)) and digest(k) in hot for x in lines] if hot else [False] * len(lines)))
                 yield emit(part, drops)
 
-    return numbered.join(hits, numbered["_row"] == hits["row"], "left").drop("row", "_row").mapInArrow(run, ddl)
+    return numbered.join(hits, F.col("_row") == F.col("_hit"), "left").drop("_hit", "_row").mapInArrow(run, ddl)
 
 
 def dedup_corpus(docs: DataFrame, min_docs: int = 10, shards: int = 256, shape: str = "text", broadcast_bytes: int = 256_000_000, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:

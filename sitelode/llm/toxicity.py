@@ -1,6 +1,6 @@
 """Operator 8: toxicity by compression distance under two zstandard dictionaries.
 
-Both dictionaries hold the commonest words of the labelled sample; the toxic one also holds what marks toxic text: word
+Both dictionaries hold the commonest unmarked words of the labelled sample; the toxic one also holds what marks toxic text: word
 beginnings and words that far more toxic than ordinary documents have, by a two-proportion z score, as cover-style
 training would pick its segments. A text is read in overlapping windows of WINDOW words. Each window is compressed under
 both dictionaries, and the difference of the two lengths says how much better the toxic dictionary explains it. The
@@ -20,6 +20,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -80,9 +81,11 @@ def dictionaries(toxic_texts: list[list[bytes]], ordinary_texts: list[list[bytes
         b.update(segments(t))
     for t in (*toxic_texts, *ordinary_texts):
         common.update(set(t))
-    base = sorted(common, key=lambda w: (-common[w], w))[:COMMON_WORDS][::-1]
+    found = marks(a, b, len(toxic_texts), len(ordinary_texts))
+    ordinary_words = (w for w in sorted(common, key=lambda w: (-common[w], w)) if not any(s in b" " + w + b" " for s in found))
+    base = list(islice(ordinary_words, COMMON_WORDS))[::-1]
     extra: list[bytes] = []
-    for s in marks(a, b, len(toxic_texts), len(ordinary_texts)):
+    for s in found:
         if s.endswith(b" "):
             extra.append(s.strip())
         else:  # a beginning: the words it begins in toxic text, commonest first
