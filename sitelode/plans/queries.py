@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -67,7 +67,7 @@ def template_families(spark, sf_dir):
 
 def host_scope(spark, sf_dir):
     p = table(spark, sf_dir, "pages")
-    return discovery.in_scope(p, p.where("page_id % 10 = 0").select("url")).select("page_id", U.host_key("url").alias("host"))
+    return discovery.in_scope(p, p.where(F.contains("url", F.lit("/fr/"))).select("url")).select("page_id", U.host_key("url").alias("host"))
 
 
 def id_normalized(spark, sf_dir):
@@ -79,7 +79,7 @@ def page_links(spark, sf_dir):
 
 
 def link_in_scope(spark, sf_dir):
-    return discovery.in_scope(page_links(spark, sf_dir), table(spark, sf_dir, "pages").where("page_id < 50").select("url"))
+    return discovery.in_scope(page_links(spark, sf_dir), table(spark, sf_dir, "pages").where(F.contains("url", F.lit("/de/"))).select("url"))
 
 
 def link_targets(spark, sf_dir):
@@ -153,7 +153,7 @@ def _halves(spark, sf_dir):
     """A store and a later extraction, as (page_url, element_role, record_seq, text): customers, and those changed since."""
     c = table(spark, sf_dir, "customer")
     row = lambda d, t: d.select(F.col("c_mktsegment").alias("page_url"), F.col("c_name").alias("element_role"), F.col("c_custkey").alias("record_seq"), t.alias("text_content"))
-    return row(c.where("c_custkey % 3 <> 0"), F.lit("old")), row(c.where("c_custkey % 2 = 0"), F.lit("new"))
+    return row(c.where("c_acctbal >= 0"), F.lit("old")), row(c.where("c_nationkey >= 10"), F.lit("new"))
 
 
 def baseline_keep(spark, sf_dir):
@@ -182,7 +182,7 @@ def history_top(spark, sf_dir):
 
 
 def _visits(spark, sf_dir):
-    return table(spark, sf_dir, "events").select(F.col("event_type").alias("role"), F.concat(F.lit("/u/"), F.col("user_id").cast("string")).alias("url")).distinct()
+    return table(spark, sf_dir, "events").select(F.col("event_type").alias("role"), F.concat(F.lit("/u/"), F.col("user_id").cast("string"), F.lit("/"), F.date_format("ts", "yyyy-MM-dd")).alias("url")).distinct()
 
 
 def role_reach(spark, sf_dir):
@@ -196,7 +196,7 @@ def role_diff(spark, sf_dir):
 
 def role_elements(spark, sf_dir):
     e = table(spark, sf_dir, "events")
-    names = e.select(F.col("event_type").alias("role"), (F.col("user_id") % 20).cast("string").alias("url"), (F.col("user_id") % 97).cast("string").alias("element")).distinct()
+    names = e.select(F.col("event_type").alias("role"), F.date_format("ts", "yyyy-MM-dd").alias("url"), F.col("user_id").cast("string").alias("element")).distinct()
     d = rolediff.element_differences(names, names.select("role", "url").distinct(), ["click", "error", "purchase", "signup", "view"])
     return d.select("url", "element", F.array_join("roles", ",").alias("roles"), F.array_join("missing", ",").alias("missing"))
 
@@ -222,25 +222,23 @@ def event_faults(spark, sf_dir):
     return e.groupBy(F.coalesce(outbox.event_fault(), F.lit("fine")).alias("fault")).agg(F.count("*").alias("n"))
 
 
-def class_jaccard(spark, sf_dir):
-    """For every part, the likest part of its brand by the words of the name; ties go to the smaller key."""
-    p = table(spark, sf_dir, "part").select("p_partkey", "p_brand", F.split("p_name", " ").alias("w"))
-    q = p.select(F.col("p_partkey").alias("other"), "p_brand", F.col("w").alias("v"))
-    pairs = p.where("p_partkey % 7 = 0").join(q, "p_brand").where("p_partkey <> other")
-    likeness = F.size(F.array_intersect("w", "v")) / F.size(F.array_union("w", "v"))
-    best = pairs.groupBy("p_partkey").agg(F.min(F.struct((-F.round(likeness, 6)).alias("d"), "other")).alias("b"))
-    return best.select("p_partkey", F.col("b.other").alias("other"), (-F.col("b.d")).alias("likeness"))
+def name_jaccard(spark, sf_dir):
+    """Likeness of each part's name to that of the part before it in its brand, by words."""
+    before = F.lag("w").over(Window.partitionBy("p_brand").orderBy("p_partkey"))
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_brand", F.array_distinct(F.split("p_name", " ")).alias("w")).withColumn("v", before).where("v is not null")
+    return p.select("p_partkey", F.round(F.size(F.array_intersect("w", "v")) / F.size(F.array_union("w", "v")), 6).alias("likeness"))
 
 
 def text_similarity(spark, sf_dir):
-    d, b = table(spark, sf_dir, "documents").where("doc_id % 20 = 0"), table(spark, sf_dir, "benchmark")
-    pairs = d.select("doc_id", F.substring("text", 1, 80).alias("a"), (F.col("doc_id") % 40).alias("item_id")).join(b.select("item_id", F.substring("text", 1, 80).alias("b")), "item_id")
-    return pairs.select("doc_id", "item_id", F.round(T.text_similarity("a", "b"), 6).alias("similarity"))
+    """Each turn of a conversation against the turn before it."""
+    before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
+    c = table(spark, sf_dir, "conversations").withColumn("before", before).where("before is not null")
+    return c.select("conv_id", "turn", F.round(T.text_similarity("before", "text"), 6).alias("similarity"))
 
 
 def resume_set(spark, sf_dir):
-    p = table(spark, sf_dir, "pages").select(F.col("page_id").alias("page_no"), "url", F.when(F.col("page_id") % 3 == 0, "extracted").when(F.col("page_id") % 3 == 1, "failed").otherwise("pending").alias("status"), U.output_file("page_id", "url").alias("output_file"))
-    return discovery.remaining(p, p.where("page_no % 2 = 0").select("output_file")).select("page_no", "status", "output_file")
+    p = table(spark, sf_dir, "pages").select(F.col("page_id").alias("page_no"), "url", F.when(F.contains("url", F.lit("/fr/")), "extracted").when(F.contains("url", F.lit("/de/")), "failed").otherwise("pending").alias("status"), U.output_file("page_id", "url").alias("output_file"))
+    return discovery.remaining(p, p.where(~F.contains("url", F.lit("?"))).select("output_file")).select("page_no", "status", "output_file")
 
 
 def login_forms(spark, sf_dir):
@@ -271,24 +269,24 @@ def heal_resolve(spark, sf_dir):
 _FOUND = (
     url_parts, url_normalized, template_families, host_scope, id_normalized, page_links, link_in_scope, link_targets, crawl_depth, crawl_frontier, tag_token_counts, token_manifest, element_counts, structural_hashes,
     page_types, page_manifest, link_roles, element_roles, baseline_keep, baseline_refresh, baseline_summary, churn_report, history_top, role_reach, role_diff, role_elements, outbox_state, outbox_next, event_faults,
-    class_jaccard, text_similarity, resume_set, login_forms, login_states, click_choices, page_specs, heal_resolve,
+    name_jaccard, text_similarity, resume_set, login_forms, login_states, click_choices, page_specs, heal_resolve,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _FOUND}
 
 _ROLES = "['click', 'error', 'purchase', 'signup', 'view']"
-_HISTORY = "(SELECT event_id AS id, CAST(user_id AS VARCHAR) AS element_role, strftime(ts, '%Y-%m-%d %H:%M:%S') AS "at", CASE WHEN event_type = 'error' THEN 'regression' ELSE 'churn' END AS change_kind FROM events)"
-_HALVES = "o AS (SELECT c_mktsegment AS page_url, c_name AS element_role, c_custkey AS record_seq FROM customer WHERE c_custkey % 3 <> 0), f AS (SELECT c_mktsegment AS page_url, c_name AS element_role, c_custkey AS record_seq FROM customer WHERE c_custkey % 2 = 0)"
+_HISTORY = '''(SELECT event_id AS id, CAST(user_id AS VARCHAR) AS element_role, strftime(ts, '%Y-%m-%d %H:%M:%S') AS "at", CASE WHEN event_type = 'error' THEN 'regression' ELSE 'churn' END AS change_kind FROM events)'''
+_HALVES = "o AS (SELECT c_mktsegment AS page_url, c_name AS element_role, c_custkey AS record_seq FROM customer WHERE c_acctbal >= 0), f AS (SELECT c_mktsegment AS page_url, c_name AS element_role, c_custkey AS record_seq FROM customer WHERE c_nationkey >= 10)"
 _STATUS = "CASE WHEN event_id < 700 THEN CASE WHEN event_id % 50 = 7 THEN 'dead' ELSE 'delivered' END ELSE 'pending' END"
 _SLUG = "rtrim(substr(trim(regexp_replace(lower(host || path || ' ' || query), '[^a-z0-9.]+', '-', 'g'), '-.'), 1, 60), '-.')"
 SQL: dict[str, str] = {
     "url_parts": f"SELECT page_id, scheme, path, query, fragment, host FROM ({sql_parts('pages', 'url', 'page_id')})",
     "url_normalized": f"SELECT page_id, {sql_normal()} AS url FROM ({sql_parts('pages', 'url', 'page_id')})",
     "template_families": f"SELECT regexp_replace(host, '^www\\.', '') AS host, {sql_normal(TEMPLATE_PATH)} AS template, count(*) AS n, min(url) AS example FROM ({sql_parts('pages', 'url', 'page_id, url')}) GROUP BY 1, 2",
-    "host_scope": f"WITH h AS (SELECT page_id, regexp_replace(host, '^www\\.', '') AS host FROM ({sql_parts('pages', 'url', 'page_id')})) SELECT page_id, host FROM h WHERE host IN (SELECT host FROM h WHERE page_id % 10 = 0)",
+    "host_scope": f"WITH h AS (SELECT page_id, regexp_replace(host, '^www\\.', '') AS host, path FROM ({sql_parts('pages', 'url', 'page_id')})) SELECT page_id, host FROM h WHERE host IN (SELECT host FROM h WHERE contains(path, '/fr/'))",
     "id_normalized": "SELECT c_custkey, regexp_replace(CASE WHEN regexp_matches(c_name, '(^|[^0-9A-Za-z])[0-9a-fA-F]*([0-9][a-fA-F]|[a-fA-F][0-9])[0-9a-fA-F]*($|[^0-9A-Za-z])') THEN NULL ELSE c_name END, '[0-9]+', '{n}', 'g') AS name FROM customer",
     "page_links": f"SELECT page_id, url FROM {NORMAL_LINKS}",
     "link_in_scope": f"""SELECT l.page_id, l.url FROM {NORMAL_LINKS} l WHERE regexp_replace(regexp_extract(l.url, '^[a-z]+://([^/:?#]*)', 1), '^www\\.', '') IN
-      (SELECT regexp_replace(host, '^www\\.', '') FROM ({sql_parts('pages', 'url', 'page_id')}) WHERE page_id < 50)""",
+      (SELECT regexp_replace(host, '^www\\.', '') FROM ({sql_parts('pages', 'url', 'page_id')}) WHERE contains(path, '/de/'))""",
     "link_targets": f"SELECT page_id, url FROM {NORMAL_LINKS} WHERE url NOT IN (SELECT url FROM {NORMAL_PAGES})",
     "crawl_depth": """WITH RECURSIVE e AS (SELECT 'r' || n_regionkey AS src, 'n' || n_nationkey AS dst FROM nation UNION SELECT 'n' || s_nationkey, 's' || s_suppkey FROM supplier),
       t(url, depth) AS (SELECT * FROM (VALUES ('r0', 0), ('r3', 0)) v(a, b) UNION SELECT e.dst, t.depth + 1 FROM t JOIN e ON e.src = t.url) SELECT url, CAST(min(depth) AS BIGINT) AS depth FROM t GROUP BY url""",
@@ -305,18 +303,19 @@ SQL: dict[str, str] = {
     "baseline_keep": f"WITH {_HALVES} SELECT page_url, element_role, record_seq, 'old' AS text_content FROM o UNION ALL SELECT page_url, element_role, record_seq, 'new' FROM f ANTI JOIN o USING (page_url, element_role)",
     "baseline_refresh": f"WITH {_HALVES} SELECT page_url, element_role, record_seq, 'old' AS text_content FROM o ANTI JOIN f USING (page_url, element_role) UNION ALL SELECT page_url, element_role, record_seq, 'new' FROM f",
     "baseline_summary": f"WITH {_HALVES} SELECT (SELECT count(*) FROM f ANTI JOIN o USING (page_url, element_role)) AS added, CAST(0 AS BIGINT) AS refreshed, (SELECT count(*) FROM o SEMI JOIN f USING (page_url, element_role)) AS kept",
-    "churn_report": f"SELECT 'p#' || element_role AS element_key, count(*) AS heals, count(*) FILTER (change_kind = 'regression') AS regressions, count(*) FILTER (change_kind <> 'regression') AS churn, max("at") AS last_healed_at FROM {_HISTORY} GROUP BY 1",
-    "history_top": f"SELECT id, element_role, "at" FROM {_HISTORY} WHERE change_kind = 'churn' ORDER BY id DESC LIMIT 25",
-    "role_reach": "SELECT event_type AS role, count(DISTINCT user_id) AS n FROM events GROUP BY 1",
-    "role_diff": f"SELECT '/u/' || user_id AS url, array_to_string(list_filter({_ROLES}, lambda r: list_contains(list(DISTINCT event_type), r)), ',') AS roles, array_to_string(list_filter({_ROLES}, lambda r: NOT list_contains(list(DISTINCT event_type), r)), ',') AS missing FROM events WHERE event_type IN (SELECT UNNEST({_ROLES})) GROUP BY user_id HAVING count(DISTINCT event_type) < 5",
-    "role_elements": f"""WITH n AS (SELECT DISTINCT event_type AS role, CAST(user_id % 20 AS VARCHAR) AS url, CAST(user_id % 97 AS VARCHAR) AS element FROM events WHERE event_type IN (SELECT UNNEST({_ROLES}))),
+    "churn_report": f"SELECT 'p#' || element_role AS element_key, count(*) AS heals, count(*) FILTER (change_kind = 'regression') AS regressions, count(*) FILTER (change_kind <> 'regression') AS churn, max(\"at\") AS last_healed_at FROM {_HISTORY} GROUP BY 1",
+    "history_top": f"SELECT id, element_role, \"at\" FROM {_HISTORY} WHERE change_kind = 'churn' ORDER BY id DESC LIMIT 25",
+    "role_reach": "SELECT event_type AS role, count(DISTINCT user_id || '/' || strftime(ts, '%Y-%m-%d')) AS n FROM events GROUP BY 1",
+    "role_diff": f"""WITH v AS (SELECT '/u/' || user_id || '/' || strftime(ts, '%Y-%m-%d') AS url, list(DISTINCT event_type) AS have FROM events GROUP BY 1)
+      SELECT url, array_to_string(list_filter({_ROLES}, lambda r: list_contains(have, r)), ',') AS roles, array_to_string(list_filter({_ROLES}, lambda r: NOT list_contains(have, r)), ',') AS missing FROM v WHERE len(have) < len({_ROLES})""",
+    "role_elements": f"""WITH n AS (SELECT DISTINCT event_type AS role, strftime(ts, '%Y-%m-%d') AS url, CAST(user_id AS VARCHAR) AS element FROM events WHERE event_type IN (SELECT UNNEST({_ROLES}))),
       a AS (SELECT url, list(DISTINCT role) AS everyone FROM n GROUP BY url HAVING count(DISTINCT role) >= 2), h AS (SELECT url, element, list(role) AS have FROM n GROUP BY url, element)
       SELECT url, element, array_to_string(list_filter({_ROLES}, lambda r: list_contains(have, r)), ',') AS roles, array_to_string(list_filter({_ROLES}, lambda r: list_contains(everyone, r) AND NOT list_contains(have, r)), ',') AS missing FROM h JOIN a USING (url) WHERE len(have) < len(everyone)""",
     "outbox_state": f"SELECT {_STATUS} AS status, count(*) AS n FROM events GROUP BY 1",
     "outbox_next": "SELECT event_id AS seq, CAST(3 AS INTEGER) AS attempts, 'HTTP 503' AS last_error FROM events WHERE event_id = 700",
     "event_faults": """SELECT CASE WHEN event_type = 'view' THEN CASE WHEN event_id % 2 = 0 THEN 'fine' ELSE 'missing fields' END WHEN event_type = 'error' THEN 'missing fields' ELSE 'unknown event' END AS fault, count(*) AS n FROM events GROUP BY 1""",
-    "class_jaccard": """WITH p AS (SELECT p_partkey, p_brand, list_distinct(string_split(p_name, ' ')) AS w FROM part), q AS (SELECT a.p_partkey, b.p_partkey AS other, round(len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))), 6) AS likeness
-      FROM p a JOIN p b ON a.p_brand = b.p_brand AND a.p_partkey <> b.p_partkey WHERE a.p_partkey % 7 = 0) SELECT p_partkey, other, likeness FROM q QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY likeness DESC, other) = 1""",
-    "resume_set": f"""WITH p AS (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'extracted' WHEN page_id % 3 = 1 THEN 'failed' ELSE 'pending' END AS status, 'pages/' || lpad(CAST(page_id AS VARCHAR), 4, '0') || '-' || {_SLUG} || '.json' AS output_file FROM
-      (SELECT page_id, scheme, regexp_extract(trim(url), '{SPLIT}', 2) AS host, path, query, fragment FROM ({sql_parts('pages', 'url', 'page_id, url')}))) SELECT page_id AS page_no, status, output_file FROM p WHERE status <> 'extracted' OR page_id % 2 <> 0""",
+    "name_jaccard": """WITH p AS (SELECT p_partkey, list_distinct(string_split(p_name, ' ')) AS w, lag(list_distinct(string_split(p_name, ' '))) OVER (PARTITION BY p_brand ORDER BY p_partkey) AS v FROM part)
+      SELECT p_partkey, round(len(list_intersect(w, v)) / len(list_distinct(list_concat(w, v))), 6) AS likeness FROM p WHERE v IS NOT NULL""",
+    "resume_set": f"""WITH p AS (SELECT page_id, CASE WHEN contains(path, '/fr/') THEN 'extracted' WHEN contains(path, '/de/') THEN 'failed' ELSE 'pending' END AS status, query, 'pages/' || lpad(CAST(page_id AS VARCHAR), 4, '0') || '-' || {_SLUG} || '.json' AS output_file FROM
+      (SELECT page_id, scheme, regexp_extract(trim(url), '{SPLIT}', 2) AS host, path, query, fragment FROM ({sql_parts('pages', 'url', 'page_id, url')}))) SELECT page_id AS page_no, status, output_file FROM p WHERE status <> 'extracted' OR query <> ''""",
 }
