@@ -84,7 +84,7 @@ class LongestMatch:
         met = set(split)
         cache.room(len(met))
         known = cache
-        for w in met.difference(cache):
+        for w in [w for w in met if w not in cache]:
             n = self.count(w.decode())
             if len(w) <= CACHE_BYTES:
                 cache[w] = n
