@@ -63,10 +63,10 @@ def normal_query(query: Column) -> Column:
 
 
 def _joined(scheme: Column, netloc: Column, path: Column, query: Column, fragment: Column) -> Column:
-    return F.concat(
+    return F.when(netloc.isNotNull(), F.concat(
         F.when(scheme != "", F.concat(scheme, F.lit(":"))).otherwise(""), F.when(netloc != "", F.concat(F.lit("//"), netloc)).otherwise(""), path,
         F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""), F.when(fragment != "", F.concat(F.lit("#"), fragment)).otherwise(""),
-    )
+    ))
 
 
 def _normal_parts(url: Column | str) -> dict[str, Column]:

@@ -119,7 +119,8 @@ def click_candidates(elements: DataFrame, limit: int = 15, extra_deny: tuple[str
     inner = e.select("page_id", "doc_idx", "text", "below", F.explode("up").alias("_key")).join(mine, ["page_id", "_key"]).where(c("doc_idx") > c("at"))
     run = inner.withColumn("_n", F.row_number().over(Window.partitionBy("page_id", "at").orderBy("doc_idx"))).where(c("doc_idx") == c("at") + c("_n"))
     under = run.groupBy("page_id", "at").agg(F.array_sort(F.collect_list(F.struct("doc_idx", "text", "below"))).alias("d"))
-    e = e.where("clickable").join(under, (e["page_id"] == under["page_id"]) & (e["doc_idx"] == under["at"]), "left").drop(under["page_id"])
+    under = under.withColumnRenamed("at", "doc_idx")
+    e = e.where("clickable").join(under, ["page_id", "doc_idx"], "left")
     texts = F.filter(F.concat(F.array("text"), F.coalesce(F.transform("d", lambda x: x["text"]), F.array().cast("array<string>"))), lambda x: x != "")
     said = F.btrim(F.array_join(texts, " "))
     label = F.when(said != "", F.substring(said, 1, 60)).otherwise(F.coalesce(F.substring(F.try_element_at(F.filter("attrs", lambda a: a != ""), F.lit(1)), 1, 60), c("id")))

@@ -133,6 +133,28 @@ def scored(pairs: DataFrame, old: str = "old", new: str = "new") -> DataFrame:
     return pairs.withColumn("confidence", F.round(raw * evidence, 4)).withColumn("raw", F.round(raw, 4)).withColumn("evidence", F.round(evidence, 4)).drop("_w", "_t")
 
 
+def offered(name: str) -> Column:
+    """The weight of the signals that a fingerprint has something to compare for: what a comparison with itself weighs."""
+    s = F.col(name)
+
+    def given(c: Column) -> Column:
+        return F.nullif(c, F.lit("")).isNotNull()
+
+    stable = F.lit(False)
+    for a in STABLE_ATTRIBUTES:
+        stable = stable | given(s["attributes"][a])
+    context = s["dom_context"]
+    has = {
+        "stable_attr": stable, "name": given(s["name"]), "text": given(s["text_content"]), "aria_label": given(s["attributes"]["aria-label"]), "label": given(context["nearby_label_text"]),
+        "attributes": F.size(_comparable(s["attributes"])) > 0, "dom_path": (F.size(context["tag_path"]) > 0) | (F.size(xpath_tags(s["xpath"])) > 0), "id": given(s["id"]), "classes": F.size(s["classes"]) > 0,
+        "parent": given(context["parent_tag"]) | given(context["parent_id"]), "sibling_index": context["sibling_index"].isNotNull(),
+    }
+    weight = F.lit(0.0)
+    for k, w in WEIGHTS.items():
+        weight = weight + F.when(has[k], w).otherwise(0.0)
+    return weight
+
+
 def canvas_pages(elements: DataFrame) -> DataFrame:
     """Pages (page_url) that are drawn: a canvas or plugin surface takes most of them and hardly a control stands outside."""
     e = elements.where(visible()).withColumn("_area", F.coalesce(F.col("computed.bounding_box.width") * F.col("computed.bounding_box.height"), F.lit(0.0)))
@@ -169,17 +191,22 @@ def resolve(store: DataFrame, elements: DataFrame, threshold: float = THRESHOLD,
     single = hits.groupBy(*key, "k", "strategy", "_frame").agg(F.count("*").alias("n"), F.min("doc_idx").alias("doc_idx")).where("n = 1")
     single = single.groupBy(*key, "k", "strategy").agg(F.min("doc_idx").alias("doc_idx"))
     held = store.select(*key, _as_struct("old"))
-    found = scored(single.join(held, key).join(live.select("page_url", "doc_idx", "new"), ["page_url", "doc_idx"]))
-    offered = scored(held.withColumn("same", F.col("old")), "old", "same").select(*key, F.col("evidence").alias("offered"))
-    found = found.join(offered, key)
     trusted = (F.col("k") == 0) & F.substring_index("strategy", ":", 1).isin(*TRUSTED)
-    holds = (F.col("offered") >= MIN_EVIDENCE) & (F.col("evidence") >= F.col("offered") - 1e-9) & (F.col("raw") >= max(AGREEMENT, threshold))
-    taken = found.where(trusted | (F.col("confidence") >= threshold) | holds).withColumn("_trusted", trusted)
+    places = live.select("page_url", "doc_idx", "new")
+    sure = single.where(trusted).join(held, key).join(places, ["page_url", "doc_idx"]).select(
+        *key, F.lit("exact").alias("outcome"), F.lit(None).cast("string").alias("kind"), "strategy", F.lit(None).cast("double").alias("confidence"), F.lit(None).cast("string").alias("reason"), "doc_idx", "old", "new"
+    )
+    open_ = single.join(sure.select(key), key, "left_anti")
+    found = scored(open_.join(held, key).join(places, ["page_url", "doc_idx"]))
+    found = found.withColumn("offered", F.least(F.lit(1.0), offered("old") / EVIDENCE_TARGET))
+    holds = (F.col("offered") >= MIN_EVIDENCE) & (F.col("evidence") >= F.col("offered") - 1e-4) & (F.col("raw") >= max(AGREEMENT, threshold))
+    taken = found.where((F.col("confidence") >= threshold) | holds)
     first = F.row_number().over(Window.partitionBy(*key).orderBy("k"))
     taken = taken.withColumn("_n", first).where("_n = 1").select(
-        *key, F.when(F.col("k") == 0, "exact").otherwise("healed").alias("outcome"), F.when(F.col("k") > 0, "fallback").alias("kind"), "strategy",
-        F.when(~F.col("_trusted"), F.col("confidence")).alias("confidence"), F.lit(None).cast("string").alias("reason"), "doc_idx", "old", "new",
+        *key, F.when(F.col("k") == 0, "exact").otherwise("healed").alias("outcome"), F.when(F.col("k") > 0, "fallback").alias("kind"), "strategy", "confidence",
+        F.lit(None).cast("string").alias("reason"), "doc_idx", "old", "new",
     )
+    taken = sure.unionByName(taken)
     left = held.join(taken.select(key), key, "left_anti")
     rivals = scored(left.join(live.select("page_url", F.col("tag").alias("_tag"), "doc_idx", "new"), "page_url").where(F.col("old.tag").isNull() | (F.col("old.tag") == F.col("_tag"))))
     by = Window.partitionBy(*key).orderBy(F.desc("confidence"), "doc_idx")

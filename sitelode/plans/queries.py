@@ -261,9 +261,9 @@ def page_specs(spark, sf_dir):
 
 def heal_resolve(spark, sf_dir):
     """Fingerprints of the captured pages against the same pages with half of their links' texts changed."""
-    e = captured(spark, sf_dir)
+    e = captured(spark, sf_dir).persist()
     later = e.withColumn("text_content", F.when((F.col("tag") == "a") & (F.col("page_id") % 2 == 0), F.concat("text_content", F.lit(" now"))).otherwise(F.col("text_content")))
-    return healing.resolve(healing.fingerprints(e), later).groupBy("outcome", "kind", "strategy", "reason").agg(F.count("*").alias("n"))
+    return healing.resolve(healing.fingerprints(e).persist(), later).groupBy("outcome", "kind", "strategy", "reason").agg(F.count("*").alias("n"))
 
 
 _FOUND = (

@@ -6,18 +6,24 @@ import json
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, StructType
 
 from .html import ELEMENTS_DDL
 
 SCHEMA_VERSION = 1
-ELEMENT = StructType([f for f in StructType.fromDDL(ELEMENTS_DDL + ", id_normalized string") if f.name not in ("page_id", "page_url", "doc_idx")])
-DOCUMENT = StructType.fromDDL("schema_version int, run_id string, url string, final_url string, page_type string, structural_hash string, captured_at string, _corrupt_record string").add("elements", f"array<{ELEMENT.simpleString()}>")
+
+
+def document_schema() -> StructType:
+    """The schema of page files; built when a session is there."""
+    known = StructType.fromDDL(ELEMENTS_DDL + ", id_normalized string")
+    element = StructType([f for f in known if f.name not in ("page_id", "page_url", "doc_idx")])
+    head = "schema_version int, run_id string, url string, final_url string, page_type string, structural_hash string, captured_at string, _corrupt_record string"
+    return StructType.fromDDL(head).add("elements", ArrayType(element))
 
 
 def read_pages(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(documents, unreadable ones) of page files; keys that aren't known are passed over."""
-    docs = spark.read.schema(DOCUMENT).option("mode", "PERMISSIVE").option("multiLine", True).json(path).withColumn("file", F.input_file_name())
+    docs = spark.read.schema(document_schema()).option("mode", "PERMISSIVE").option("multiLine", True).json(path).withColumn("file", F.input_file_name())
     bad = F.col("_corrupt_record").isNotNull() | F.col("url").isNull()
     return docs.where(~bad).drop("_corrupt_record"), docs.where(bad).select("file")
 
