@@ -13,6 +13,7 @@ from sitelode.llm import jaccard_join, language_id, line_dedup, packing, pii
 from sitelode.llm.common import held_out, table
 from sitelode.llm.queries import tokenizer_path
 from sitelode.llm.scratch import kept
+from sitelode.shipping import shipped
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +41,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, tokenizer_path("byte_bpe_50k.json"))
 
 
-STAGES = [("language", language), ("lines", lines), ("near_copies", near_copies), ("personal_data", personal_data), ("packing", pack)]
+STAGES = [(name, shipped(stage)) for name, stage in (("language", language), ("lines", lines), ("near_copies", near_copies), ("personal_data", personal_data), ("packing", pack))]
 
 #: Languages, the join and packing can't be put into SQL; tests/llm holds the pipeline against a plain version.
 ORACLE_SQL = None
