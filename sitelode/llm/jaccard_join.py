@@ -12,7 +12,7 @@ a digest of the set; all that follows works on classes, and copies are never pai
 3.  Groups. In every list each set is paired with the least one. Pairs that share enough are verified, and linked sets
     become one component: a large group of near copies costs a pair a member.
 4.  The rest. Lists that still hold several components give every pair of sets from different ones that share min(k)
-    prefix shingles; those are verified too. No pair of different components is left untested that could link.
+    prefix shingles, unless the shingles that only one of them lists leave too little to share; those are verified too. No pair of different components is left untested that could link.
 
 Verification is T-occurrence search over blocks of BLOCK candidates of one set: the set's shingles pick the candidates'
 inverted lists, the longest of which are put aside; the short ones are heap-merged, whatever occurs T - L times or more
@@ -28,6 +28,7 @@ from __future__ import annotations
 import heapq
 import math
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -53,26 +54,33 @@ class Shingler:
     def __init__(self):
         self.cache = BoundedCache(400_000)
 
-    def __call__(self, text: str | None) -> np.ndarray:
-        """Sorted distinct 64-bit hashes."""
-        split = text.encode().lower().split() if text else []
-        if not split:
-            return np.zeros(0, np.uint64)
-        if len(split) < WORDS:
-            return np.array([xxhash.xxh3_64_intdigest(b" ".join(split), 1)], np.uint64)
+    def __call__(self, batch: list[str | None]) -> list[np.ndarray]:
+        """Sorted distinct 64-bit hashes of each text; the windows of all texts are hashed in one go."""
+        splits = [t.encode().lower().split() if t else [] for t in batch]
+        flat = list(chain.from_iterable(splits))
         cache = self.cache
-        met = set(split)
+        met = set(flat)
         cache.room(len(met))
-        for w in [w for w in met if w not in cache]:
-            cache[w] = xxhash.xxh3_64_intdigest(w)
-        h = np.fromiter(map(cache.__getitem__, split), np.uint64, len(split))
-        n = len(h) - WORDS + 1
+        for w in met:
+            if w not in cache:
+                cache[w] = xxhash.xxh3_64_intdigest(w)
+        h = np.fromiter(map(cache.__getitem__, flat), np.uint64, len(flat))
+        n = max(0, len(h) - WORDS + 1)
         mixed = np.zeros(n, np.uint64)
         for i in range(WORDS):
             mixed = (mixed ^ (mixed >> np.uint64(29))) * MULTIPLIERS[(i + 1) % WORDS] + h[i : i + n] * MULTIPLIERS[i]
         mixed ^= mixed >> np.uint64(32)
         mixed *= MULTIPLIERS[0]
-        return np.unique(mixed ^ (mixed >> np.uint64(29)))
+        mixed ^= mixed >> np.uint64(29)
+        out, at = [], 0
+        for split in splits:
+            if len(split) >= WORDS:
+                own = np.sort(mixed[at : at + len(split) - WORDS + 1])
+                out.append(own[np.concatenate([[True], own[1:] != own[:-1]])])
+            else:
+                out.append(np.array([xxhash.xxh3_64_intdigest(b" ".join(split), 1)] if split else [], np.uint64))
+            at += len(split)
+        return out
 
 
 def class_of(shingles: np.ndarray) -> int:
@@ -101,7 +109,7 @@ def _scan(docs: DataFrame, make, ddl: str) -> DataFrame:
         take, end = make()
         for batch in batches:
             for part in chunks(batch):
-                yield from take(part, [shingles(t) for t in part.column("text").to_pylist()])
+                yield from take(part, shingles(part.column("text").to_pylist()))
         yield from end()
 
     return docs.mapInArrow(run, ddl)
@@ -328,23 +336,26 @@ def join(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> Dat
     hot = hot_shingles(docs, buckets)
     lists = kept(inverted(docs, hot, buckets))
     k = (F.floor(F.col("n") * EXTRA) + 1).alias("k")
-    live = lists.groupBy("class").agg(F.count("*").alias("shared"), F.first("n").alias("n")).where(F.col("shared") >= k).select("class")
-    lists = kept(lists.join(live, "class", "left_semi").select("token", "class", "n", k))
-    near = (F.col("n") * NUM <= F.col("m") * DEN) & (F.col("m") * NUM <= F.col("n") * DEN)
+    # a prefix shingle that nobody else lists is shared with nobody: what is left caps the overlap of any pair
+    prefix = F.least(F.col("n"), F.col("n") - F.ceil(F.col("n") * NUM / DEN) + F.floor(F.col("n") * EXTRA) + 1)
+    live = lists.groupBy("class").agg(F.count("*").alias("shared"), F.first("n").alias("n")).where(F.col("shared") >= k)
+    live = live.select("class", (F.col("n") - prefix + F.col("shared")).cast("int").alias("cap"))
+    lists = kept(lists.join(live, "class").select("token", "class", "n", k, "cap"))
+    near = (F.col("n") * NUM <= F.col("m") * DEN) & (F.col("m") * NUM <= F.col("n") * DEN) & ((DEN + NUM) * F.least("cap", "lid") >= NUM * (F.col("n") + F.col("m")))
 
     # groups: everyone with the least of each list
-    least = lists.groupBy("token").agg(F.min(F.struct("class", "n", "k")).alias("c"), F.count("*").alias("size")).where("size > 1").select("token", F.col("c.class").alias("b"), F.col("c.n").alias("m"), F.col("c.k").alias("j"))
+    least = lists.groupBy("token").agg(F.min(F.struct("class", "n", "k", "cap")).alias("c"), F.count("*").alias("size")).where("size > 1").select("token", F.col("c.class").alias("b"), F.col("c.n").alias("m"), F.col("c.k").alias("j"), F.col("c.cap").alias("lid"))
     stars = lists.withColumnRenamed("class", "a").join(least, "token").where((F.col("a") != F.col("b")) & near)
     stars = kept(stars.groupBy("a", "b").agg(F.count("*").alias("shared"), F.first(F.least("k", "j")).alias("k")).where("4 * shared >= k").select("a", "b"))
     links = kept(verified(stars, docs, first))
     groups = components(links)
 
     # the rest: pairs from different components of one list
-    named = kept(lists.join(groups.withColumnRenamed("node", "class"), "class", "left").select("token", "class", "n", "k", F.coalesce("component", "class").alias("component")))
+    named = kept(lists.join(groups.withColumnRenamed("node", "class"), "class", "left").select("token", "class", "n", "k", "cap", F.coalesce("component", "class").alias("component")))
     mixed = named.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
     open_ = named.join(mixed, "token")
-    left = open_.select("token", F.col("class").alias("a"), "n", "k", F.col("component").alias("ca"))
-    right = open_.select("token", F.col("class").alias("b"), F.col("n").alias("m"), F.col("k").alias("j"), F.col("component").alias("cb"))
+    left = open_.select("token", F.col("class").alias("a"), "n", "k", "cap", F.col("component").alias("ca"))
+    right = open_.select("token", F.col("class").alias("b"), F.col("n").alias("m"), F.col("k").alias("j"), F.col("cap").alias("lid"), F.col("component").alias("cb"))
     pairs = left.join(right, "token").where((F.col("ca") < F.col("cb")) & near).groupBy("a", "b").agg(F.count("*").alias("shared"), F.first(F.least("k", "j")).alias("k")).where("shared >= k")
     tested = stars.select("a", "b").unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
     pairs = kept(pairs.select("a", "b").join(tested, ["a", "b"], "left_anti"))
