@@ -116,7 +116,7 @@ def _term_spans(scanned: DataFrame, docs: DataFrame, text_col: str) -> DataFrame
     if terms.count() <= BROADCAST_TERMS:
         terms = F.broadcast(terms)
     held = docs.select(F.explode(F.array_distinct(F.split(F.lower(docs[text_col].cast("string")), r"\P{L}+"))).alias("t")).where(F.length("t") >= 3)
-    in_docs = held.join(terms, "t", "left_semi").groupBy("t").agg(F.count("*").alias("n_t"))
+    in_docs = held.groupBy("t").agg(F.count("*").alias("n_t")).join(terms, "t", "left_semi")
     share = F.log(F.lit(float(n_docs)) * F.col("n_ct") / (F.col("n_c") * F.col("n_t"))) / F.log(F.lit(float(n_docs)) / F.col("n_c"))
     told = pairs.join(in_docs, "t").withColumn("share", F.when(F.col("n_c") < n_docs, share)).where(F.col("share") >= GENERALISE_AT)
     told = told.select("c", "t", F.when(F.col("share") >= REMOVE_AT, "remove").otherwise("generalise").alias("kind"))

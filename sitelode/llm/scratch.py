@@ -30,7 +30,7 @@ def kept(df: DataFrame) -> DataFrame:
     """The same rows, read back from a Parquet table: later readers don't repeat the work, and lost executors lose nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/sitelode-tables/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)  # its buffers go with the writer; other codecs' wait for a collection
     _WRITTEN.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
