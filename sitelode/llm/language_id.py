@@ -21,12 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BoundedCache, chunks, held_out
+from .common import chunks, held_out
 
 LETTERS = re.compile(r"[^\W\d_]+")
 UNDETERMINED = "und"
-#: Lengths of the n-grams, n-grams in a profile, distinct words a worker holds before it counts their n-grams.
-MAX_N, DEPTH, HELD_WORDS = 4, 300, 200_000
+#: Lengths of the n-grams, n-grams in a profile, distinct words and n-grams a worker holds.
+MAX_N, DEPTH, HELD_WORDS, HELD_GRAMS = 3, 300, 500_000, 300_000
 #: Languages beyond which profiles no longer go to every executor whole.
 MAX_LANGUAGES = 2_000
 
@@ -46,30 +46,54 @@ def grams(word: str, max_n: int = MAX_N) -> list[str]:
 
 
 class GramCounter:
-    """n-gram counts of texts, with the n-grams of common words remembered."""
-
-    def __init__(self, max_n: int):
-        self.max_n = max_n
-        self.cache = BoundedCache(200_000)
-
-    def count(self, found: Counter) -> dict[str, int]:
-        out: dict[str, int] = defaultdict(int)
-        cache = self.cache
-        cache.room(0)
-        for w, n in found.items():
-            if (gs := cache.get(w)) is None:
-                gs = grams(w, self.max_n)
-                if len(w) <= 24:
-                    cache.room(1)
-                    cache[w] = gs
-            for g in gs:
-                out[g] += n
-        out.pop(" ", None)  # the padding by itself says nothing
-        return out
-
-
-def ranked(counts: dict[str, int], depth: int) -> list[str]:
-    return [g for g, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:depth]]
+    """n-gram counts of texts as arrays over numbered n-grams; the numbers of common words' n-grams are remembered.
+
+    The n-grams given first keep their numbers; the others are forgotten when there are too many.
+    """
+
+    def __init__(self, max_n: int, first: list[str] = ()):
+        self.max_n, self.first = max_n, list(first)
+        self.forget()
+
+    def forget(self) -> None:
+        self.names = [" ", *self.first]  # the padding by itself says nothing
+        self.numbers = {g: i for i, g in enumerate(self.names)}
+        self.words: dict[str, np.ndarray] = {}
+
+    def of_word(self, word: str) -> np.ndarray:
+        numbers, names, out = self.numbers, self.names, []
+        for g in grams(word, self.max_n):
+            if (i := numbers.get(g)) is None:
+                i = numbers[g] = len(names)
+                names.append(g)
+            out.append(i)
+        known = np.array(out, np.int32)
+        if len(word) <= 24:
+            self.words[word] = known
+        return known
+
+    def count(self, found: Counter) -> np.ndarray:
+        """Counts by number."""
+        if len(self.names) > HELD_GRAMS or len(self.words) > HELD_WORDS:
+            self.forget()
+        get, new = self.words.get, self.of_word
+        parts = [p if (p := get(w)) is not None else new(w) for w in found]
+        if not parts:
+            return np.zeros(0, np.int64)
+        times = np.repeat(np.fromiter(found.values(), np.int64, len(found)), np.fromiter(map(len, parts), np.int64, len(parts)))
+        counts = np.bincount(np.concatenate(parts), times).astype(np.int64)
+        counts[0] = 0
+        return counts
+
+    def ranked(self, counts: np.ndarray, depth: int) -> np.ndarray:
+        """Numbers of the most frequent n-grams, in falling order and then by n-gram."""
+        at = np.flatnonzero(counts)
+        n = counts[at]
+        if len(at) > depth:
+            least = np.partition(n, -depth)[-depth]
+            at, n = at[n >= least], n[n >= least]
+        names = self.names
+        return np.array([i for _, _, i in sorted(zip((-n).tolist(), [names[i] for i in at], at.tolist(), strict=True))[:depth]], np.int64)
 
 
 def profiles(docs: DataFrame, max_n: int = MAX_N, depth: int = DEPTH, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -82,7 +106,8 @@ def profiles(docs: DataFrame, max_n: int = MAX_N, depth: int = DEPTH, text_col:
 
         def out() -> Iterator[pa.RecordBatch]:
             for lang in list(held):
-                counts = list(counter.count(held.pop(lang)).items())
+                by_number = counter.count(held.pop(lang))
+                counts = [(counter.names[i], int(by_number[i])) for i in np.flatnonzero(by_number)]
                 for i in range(0, len(counts), 50_000):
                     part = counts[i : i + 50_000]
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part), pa.string()), pa.array([g for g, _ in part], pa.string()), pa.array([n for _, n in part], pa.int64())], names=["lang", "gram", "n"])
@@ -107,20 +132,19 @@ def profiles(docs: DataFrame, max_n: int = MAX_N, depth: int = DEPTH, text_col:
 
 class Profiles:
     def __init__(self, rows: list[tuple[str, str, int]], max_n: int, depth: int):
-        self.langs = sorted({r[0] for r in rows})
-        self.depth, self.counter = depth, GramCounter(max_n)
-        self.at = {g: i for i, g in enumerate(sorted({r[1] for r in rows}))}
-        self.ranks = np.full((len(self.at) + 1, len(self.langs)), -1, np.int32)
+        self.langs, self.depth = sorted({r[0] for r in rows}), depth
+        self.counter = GramCounter(max_n, sorted({r[1] for r in rows}))
+        self.ranks = np.full((len(self.counter.names) + 1, len(self.langs)), -1, np.int32)  # the last: of no profile
         column = {x: i for i, x in enumerate(self.langs)}
         for lang, gram, rank in rows:
-            self.ranks[self.at[gram], column[lang]] = rank
+            self.ranks[self.counter.numbers[gram], column[lang]] = rank
 
     def predict(self, text: str | None) -> tuple[str, float]:
         found = word_counts(text)
         if not found or not self.langs:
             return UNDETERMINED, 0.0
-        own = ranked(self.counter.count(found), self.depth)
-        ranks = self.ranks[[self.at.get(g, -1) for g in own]]
+        own = self.counter.ranked(self.counter.count(found), self.depth)
+        ranks = self.ranks[np.minimum(own, len(self.ranks) - 1)]
         places = np.arange(len(own), dtype=np.int32)[:, None]
         distance = np.where(ranks < 0, self.depth, np.abs(ranks - places)).sum(axis=0)
         best = int(distance.argmin())
