@@ -12,7 +12,8 @@ a digest of the set; all that follows works on classes, and copies are never pai
 3.  Groups. In every list each set is paired with the least one. Pairs that share enough are verified, and linked sets
     become one component: a large group of near copies costs a pair a member.
 4.  The rest. Lists that still hold several components give every pair of sets from different ones that share min(k)
-    prefix shingles, unless the shingles that only one of them lists leave too little to share; those are verified too. No pair of different components is left untested that could link.
+    prefix shingles, unless what they share of their prefixes and what the one whose prefix ends first has after it is
+    too little; those are verified too. No pair of different components is left untested that could link.
 
 Verification is T-occurrence search over blocks of BLOCK candidates of one set: the set's shingles pick the candidates'
 inverted lists, the longest of which are put aside; the short ones are heap-merged, whatever occurs T - L times or more
@@ -101,6 +102,13 @@ def extra(n: int) -> int:
     return 1 + int(EXTRA * n)
 
 
+def least_shared(n, k, m, j):
+    """Prefix shingles that two sets of n and m, with k and j of their own, share at least if they link. All they share up
+    to the earlier end of the two prefixes is in both; beyond it they share at most what that set has left, T - k."""
+    left = lambda size, own: F.greatest(F.lit(0), F.ceil(size * NUM / DEN) - own)
+    return F.greatest(F.least(k, j), F.ceil((n + m) * NUM / (DEN + NUM)) - F.greatest(left(n, k), left(m, j)))
+
+
 def _scan(docs: DataFrame, make, ddl: str) -> DataFrame:
     """make(shingler) gives take(doc_ids, sets) -> batches and a function for what is left at the end."""
 
@@ -336,27 +344,26 @@ def join(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> Dat
     hot = hot_shingles(docs, buckets)
     lists = kept(inverted(docs, hot, buckets))
     k = (F.floor(F.col("n") * EXTRA) + 1).alias("k")
-    # a prefix shingle that nobody else lists is shared with nobody: what is left caps the overlap of any pair
-    prefix = F.least(F.col("n"), F.col("n") - F.ceil(F.col("n") * NUM / DEN) + F.floor(F.col("n") * EXTRA) + 1)
-    live = lists.groupBy("class").agg(F.count("*").alias("shared"), F.first("n").alias("n")).where(F.col("shared") >= k)
-    live = live.select("class", (F.col("n") - prefix + F.col("shared")).cast("int").alias("cap"))
-    lists = kept(lists.join(live, "class").select("token", "class", "n", k, "cap"))
-    near = (F.col("n") * NUM <= F.col("m") * DEN) & (F.col("m") * NUM <= F.col("n") * DEN) & ((DEN + NUM) * F.least("cap", "lid") >= NUM * (F.col("n") + F.col("m")))
+    live = lists.groupBy("class").agg(F.count("*").cast("int").alias("own"), F.first("n").alias("n")).where(F.col("own") >= k).select("class", "own")
+    lists = kept(lists.join(live, "class").select("token", "class", "n", k, "own"))
+    # own: prefix shingles that others list too, so no pair shares more than the lesser of its two
+    need = least_shared(F.col("n"), F.col("k"), F.col("m"), F.col("j"))
+    near = (F.col("n") * NUM <= F.col("m") * DEN) & (F.col("m") * NUM <= F.col("n") * DEN) & (F.least("own", "lid") >= need)
 
     # groups: everyone with the least of each list
-    least = lists.groupBy("token").agg(F.min(F.struct("class", "n", "k", "cap")).alias("c"), F.count("*").alias("size")).where("size > 1").select("token", F.col("c.class").alias("b"), F.col("c.n").alias("m"), F.col("c.k").alias("j"), F.col("c.cap").alias("lid"))
+    least = lists.groupBy("token").agg(F.min(F.struct("class", "n", "k", "own")).alias("c"), F.count("*").alias("size")).where("size > 1").select("token", F.col("c.class").alias("b"), F.col("c.n").alias("m"), F.col("c.k").alias("j"), F.col("c.own").alias("lid"))
     stars = lists.withColumnRenamed("class", "a").join(least, "token").where((F.col("a") != F.col("b")) & near)
     stars = kept(stars.groupBy("a", "b").agg(F.count("*").alias("shared"), F.first(F.least("k", "j")).alias("k")).where("4 * shared >= k").select("a", "b"))
     links = kept(verified(stars, docs, first))
     groups = components(links)
 
     # the rest: pairs from different components of one list
-    named = kept(lists.join(groups.withColumnRenamed("node", "class"), "class", "left").select("token", "class", "n", "k", "cap", F.coalesce("component", "class").alias("component")))
+    named = kept(lists.join(groups.withColumnRenamed("node", "class"), "class", "left").select("token", "class", "n", "k", "own", F.coalesce("component", "class").alias("component")))
     mixed = named.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
     open_ = named.join(mixed, "token")
-    left = open_.select("token", F.col("class").alias("a"), "n", "k", "cap", F.col("component").alias("ca"))
-    right = open_.select("token", F.col("class").alias("b"), F.col("n").alias("m"), F.col("k").alias("j"), F.col("cap").alias("lid"), F.col("component").alias("cb"))
-    pairs = left.join(right, "token").where((F.col("ca") < F.col("cb")) & near).groupBy("a", "b").agg(F.count("*").alias("shared"), F.first(F.least("k", "j")).alias("k")).where("shared >= k")
+    left = open_.select("token", F.col("class").alias("a"), "n", "k", "own", F.col("component").alias("ca"))
+    right = open_.select("token", F.col("class").alias("b"), F.col("n").alias("m"), F.col("k").alias("j"), F.col("own").alias("lid"), F.col("component").alias("cb"))
+    pairs = left.join(right, "token").where((F.col("ca") < F.col("cb")) & near).groupBy("a", "b").agg(F.count("*").alias("shared"), F.first(need).alias("need")).where("shared >= need")
     tested = stars.select("a", "b").unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
     pairs = kept(pairs.select("a", "b").join(tested, ["a", "b"], "left_anti"))
     if pairs.limit(1).count():

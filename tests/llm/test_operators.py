@@ -294,6 +294,19 @@ def test_jaccard_join_against_all_pairs(spark, empty, limit, monkeypatch):
     assert jaccard_join.join(empty).count() == 0
 
 
+def test_jaccard_join_links_a_copy_with_more_text_to_a_hot_one(spark):
+    rng = random.Random(14)
+    words = lambda tag, n: [f"{tag}{i}" for i in rng.sample(range(10_000), n)]
+    a = words("a", 84)  # 80 shingles; in 30 documents they are hot and come last
+    texts = [" ".join(a)] * 30 + [" ".join(a + words("b", 20))]
+    for k, (before, after) in enumerate([(5, 0), (12, 12), (0, 26), (0, 32), (30, 0)]):
+        b = words(f"c{k}x", 104)
+        texts += [" ".join(b)] * 25 + [" ".join(words(f"d{k}x", before) + b + words(f"e{k}x", after))]
+    got = {r.doc_id: r.component_id for r in jaccard_join.join(docs_of(spark, texts)).collect()}
+    assert got[30] == 0
+    assert [got[i] for i in range(len(texts))] == plain_groups(texts)[0]
+
+
 def test_divide_skip_counts_occurrences():
     rng = random.Random(12)
     for _ in range(200):
