@@ -8,7 +8,8 @@ occurrence, and document counts over the whole corpus tell how much a term discl
 
 of the entity's information content that the term gives away, where n(t) counts all documents with the term anywhere.
 It is 1 if the term occurs with the entity only. From REMOVE_AT on a term is removed beside the entity, from
-GENERALISE_AT on it is generalised to a placeholder; pairs of fewer than SUPPORT documents are no evidence.
+GENERALISE_AT on it is generalised to a placeholder. Entities of a single document count like others: a word found in
+that document only gives it away wholly.
 
 Positions are code points, the end exclusive. Java's regular expressions find the same leftmost non-overlapping matches
 as the plain patterns; they are written possessively and anchored at the start of a run, so that time stays linear in
@@ -39,7 +40,7 @@ PATTERNS = {
 NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 PART = "0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{0,2})"
 TERM = r"\p{L}{3,}+"
-CONTEXT, SUPPORT, GENERALISE_AT, REMOVE_AT = 64, 3, 0.9, 0.98
+CONTEXT, GENERALISE_AT, REMOVE_AT = 64, 0.9, 0.98
 #: Candidate terms that may go to every executor whole: at 16 bytes hash and count each.
 BROADCAST_TERMS = 1_000_000
 SPAN = "array<struct<s:int,e:int,v:string>>"
@@ -109,7 +110,7 @@ def _term_spans(scanned: DataFrame, docs: DataFrame, text_col: str) -> DataFrame
     left = F.transform(F.filter(located(F.col("left"), TERM), lambda x: (x["s"] > 0) | (F.col("from") == 0)), lambda x: F.struct((x["s"] + F.col("from")).alias("s"), (x["e"] + F.col("from")).alias("e"), F.lower(x["v"]).alias("t")))
     right = F.transform(F.filter(located(F.col("right"), TERM), lambda x: x["e"] < CONTEXT), lambda x: F.struct((x["s"] + F.col("e")).alias("s"), (x["e"] + F.col("e")).alias("e"), F.lower(x["v"]).alias("t")))
     near = kept(spans.select("_row", "c", F.explode(F.concat(left, right)).alias("x")).select("_row", "c", "x.t", "x.s", "x.e"))
-    pairs = near.select("_row", "c", "t").distinct().groupBy("c", "t").agg(F.count("*").alias("n_ct")).where(F.col("n_ct") >= SUPPORT)
+    pairs = near.select("_row", "c", "t").distinct().groupBy("c", "t").agg(F.count("*").alias("n_ct"))
     entities = spans.select("_row", "c").distinct().groupBy("c").agg(F.count("*").alias("n_c"))
     pairs = kept(pairs.join(entities, "c"))
     terms = kept(pairs.select("t").distinct())

@@ -186,6 +186,14 @@ def test_pii_terms_that_give_an_entity_away(spark):
     assert pii.sanitise(d).columns == d.columns
 
 
+def test_pii_terms_of_entities_in_one_or_two_documents(spark):
+    texts = ["Ask Quillon at q@firm.example today", "call Brannick, +49 30 1234567, today", "Brannick at noon: +49 30 1234567"] + [f"ask or call at noon today {i}" for i in range(30)]
+    got = {r.doc_id: r.spans for r in pii.find(docs_of(spark, texts)).collect()}
+    assert got[0] == "remove:4:11,email:15:29"
+    assert got[1] == "remove:5:13,phone:15:29" and got[2] == "remove:0:8,phone:18:32"
+    assert all(got[i] == "" for i in range(3, 33))
+
+
 def test_language_identification(spark, empty):
     rng = random.Random(6)
     words = {"aa": ("lomi", "tesa", "ruvo", "kima"), "bb": ("strak", "blund", "fjork", "grumt"), "cc": ("шила", "море", "ветер")}
