@@ -1,14 +1,15 @@
 """Operator 5: personal data, and the terms that give it away. DataFrame functions only.
 
 Base spans are e-mail addresses, IP addresses, card numbers and phone numbers. Every distinct value found is a protected
-entity c. Terms t, words of three letters and more, are taken from CONTEXT code points on either side of each
-occurrence, and document counts over the whole corpus tell how much a term discloses: the share
+entity c. Terms t are the words of three letters and more of every document that holds the entity, and document counts
+over the whole corpus tell how much a term discloses: the share
 
     PMI(c; t) / IC(c) = log(N n(c,t) / (n(c) n(t))) / log(N / n(c))
 
-of the entity's information content that the term gives away, where n(t) counts all documents with the term anywhere.
-It is 1 if the term occurs with the entity only. From REMOVE_AT on a term is removed beside the entity, from
-GENERALISE_AT on it is generalised to a placeholder. Entities of a single document count like others: a word found in
+of the entity's information content that the term gives away, where n(c,t) and n(t) count documents with the term
+anywhere. It is 1 if the term occurs with the entity only. From REMOVE_AT on a term is removed, from GENERALISE_AT on it
+is generalised to a placeholder, at all its places in the documents that hold the entity; of two entities' verdicts on a
+word the stricter holds. Entities of the same documents share their counts and are one holder g in what follows. Entities of a single document count like others: a word found in
 that document only gives it away wholly.
 
 Positions are code points, the end exclusive. Java's regular expressions find the same leftmost non-overlapping matches
@@ -23,7 +24,7 @@ may overlap, all are reported, and sanitise() replaces their union by the placeh
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scratch import kept
@@ -40,9 +41,7 @@ PATTERNS = {
 NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 PART = "0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{0,2})"
 TERM = r"\p{L}{3,}+"
-CONTEXT, GENERALISE_AT, REMOVE_AT = 64, 0.9, 0.98
-#: Candidate terms that may go to every executor whole: at 16 bytes hash and count each.
-BROADCAST_TERMS = 1_000_000
+GENERALISE_AT, REMOVE_AT = 0.9, 0.98
 SPAN = "array<struct<s:int,e:int,v:string>>"
 
 
@@ -88,52 +87,55 @@ def written(spans: Column) -> Column:
 
 
 def _scanned(docs: DataFrame, text_col: str, carried: list[Column]) -> DataFrame:
-    """A written table: row number, what is carried, base spans, and the text around each of them."""
-    text = F.coalesce(F.col("_text"), F.lit(""))
-    base = docs.select(*carried, docs[text_col].cast("string").alias("_text")).withColumn("_spans", base_spans(text))
-    around = F.transform(
-        "_spans",
-        lambda x: F.struct(
-            F.greatest(x["s"] - CONTEXT, F.lit(0)).alias("from"),
-            F.substring(text, F.greatest(x["s"] - CONTEXT, F.lit(0)) + 1, F.least(x["s"], F.lit(CONTEXT))).alias("left"),
-            F.substring(text, x["e"] + 1, F.lit(CONTEXT)).alias("right"),
-        ),
-    )
-    return kept(base.withColumn("_around", around).withColumn("_row", F.monotonically_increasing_id()))
-
-
-def _term_spans(scanned: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
-    """(_row, terms array<struct<s, k, e, kind>>): disclosing terms beside entities."""
-    n_docs = scanned.count()
-    spans = scanned.select("_row", F.explode(F.arrays_zip("_spans", "_around")).alias("x")).select("_row", F.xxhash64("x._spans.kind", F.lower("x._spans.v")).alias("c"), "x._spans.s", "x._spans.e", F.col("x._around.from").alias("from"), "x._around.left", "x._around.right")
-    # a word cut by the window's edge is no word
-    left = F.transform(F.filter(located(F.col("left"), TERM), lambda x: (x["s"] > 0) | (F.col("from") == 0)), lambda x: F.struct((x["s"] + F.col("from")).alias("s"), (x["e"] + F.col("from")).alias("e"), F.lower(x["v"]).alias("t")))
-    right = F.transform(F.filter(located(F.col("right"), TERM), lambda x: x["e"] < CONTEXT), lambda x: F.struct((x["s"] + F.col("e")).alias("s"), (x["e"] + F.col("e")).alias("e"), F.lower(x["v"]).alias("t")))
-    near = kept(spans.select("_row", "c", F.explode(F.concat(left, right)).alias("x")).select("_row", "c", "x.t", "x.s", "x.e"))
-    pairs = near.select("_row", "c", "t").distinct().groupBy("c", "t").agg(F.count("*").alias("n_ct"))
-    entities = spans.select("_row", "c").distinct().groupBy("c").agg(F.count("*").alias("n_c"))
-    pairs = kept(pairs.join(entities, "c"))
-    terms = kept(pairs.select("t").distinct())
-    if terms.count() <= BROADCAST_TERMS:
-        terms = F.broadcast(terms)
-    held = docs.select(F.explode(F.array_distinct(F.split(F.lower(docs[text_col].cast("string")), r"\P{L}+"))).alias("t")).where(F.length("t") >= 3)
-    in_docs = held.groupBy("t").agg(F.count("*").alias("n_t")).join(terms, "t", "left_semi")
-    share = F.log(F.lit(float(n_docs)) * F.col("n_ct") / (F.col("n_c") * F.col("n_t"))) / F.log(F.lit(float(n_docs)) / F.col("n_c"))
-    told = pairs.join(in_docs, "t").withColumn("share", F.when(F.col("n_c") < n_docs, share)).where(F.col("share") >= GENERALISE_AT)
-    told = told.select("c", "t", F.when(F.col("share") >= REMOVE_AT, "remove").otherwise("generalise").alias("kind"))
-    marked = near.join(told, ["c", "t"]).select("_row", "s", "e", "kind")
-    span = F.struct(F.col("s"), F.when(F.col("kind") == "remove", 4).otherwise(5).alias("k"), F.col("e"), F.col("kind"))
-    return marked.groupBy("_row").agg(F.array_sort(F.collect_set(span)).alias("_terms"))
+    """A written table: row number, what is carried, the text and its base spans."""
+    base = docs.select(*carried, docs[text_col].cast("string").alias("_text")).withColumn("_spans", base_spans(F.coalesce(F.col("_text"), F.lit(""))))
+    return kept(base.withColumn("_row", F.monotonically_increasing_id()))
+
+
+def terms(text: Column) -> Column:
+    """The distinct words of three letters and more, in lower case."""
+    return F.array_distinct(F.transform(F.filter(F.array_distinct(F.split(text, r"\P{L}+")), lambda w: F.length(w) >= 3), F.lower))
+
+
+def _holders(scanned: DataFrame) -> DataFrame:
+    """(_row, g, n_c): the sets of documents that hold an entity, each once, by row; g names a set by 128 bits."""
+    holds = kept(scanned.select("_row", F.explode(F.array_distinct(F.transform("_spans", lambda x: F.xxhash64(x["kind"], F.lower(x["v"]))))).alias("c")))
+    entities = holds.groupBy("c").agg(F.count("*").alias("n_c"), F.bit_xor(F.xxhash64("_row")).alias("x"), F.bit_xor(F.xxhash64("_row", F.lit("second"))).alias("y"))
+    return holds.join(entities, "c").select("_row", F.struct("x", "y").alias("g"), "n_c").distinct()
+
+
+def _term_spans(scanned: DataFrame) -> DataFrame:
+    """(_row, _terms array<struct<s, k, e, kind>>): disclosing terms in the documents of their entities."""
+    n_docs = float(scanned.count())
+    holders = kept(_holders(scanned).where(F.col("n_c") < n_docs))
+    # no share reaches GENERALISE_AT unless n(t) <= n(c) ** GENERALISE_AT * N ** (1 - GENERALISE_AT), as n(c,t) <= n(c)
+    most = F.pow(F.col("n_c"), F.lit(GENERALISE_AT)) * max(n_docs, 1.0) ** (1 - GENERALISE_AT) * (1 + 1e-9)
+    at_most = holders.agg(F.max(most)).first()[0] or 0.0
+    in_docs = scanned.select(F.explode(terms(F.col("_text"))).alias("t")).groupBy("t").agg(F.count("*").alias("n_t")).where(F.col("n_t") <= at_most)
+    own = scanned.where(F.size("_spans") > 0).select("_row", F.explode(terms(F.col("_text"))).alias("t")).join(in_docs, "t")
+    found = kept(own.join(holders, "_row").where(F.col("n_t") <= most))
+    share = F.log(F.lit(n_docs) * F.col("n_ct") / (F.col("n_c") * F.col("n_t"))) / F.log(F.lit(n_docs) / F.col("n_c"))
+    told = found.groupBy("g", "t").agg(F.count("*").alias("n_ct"), F.first("n_c").alias("n_c"), F.first("n_t").alias("n_t")).withColumn("share", share).where(F.col("share") >= GENERALISE_AT)
+    told = kept(found.join(told.select("g", "t", "share"), ["g", "t"]).groupBy("_row", "t").agg(F.max("share").alias("share")))
+
+    # places: the lengths of gaps and words add up in order
+    texts = scanned.where(F.size("_spans") > 0).join(told.select("_row").distinct(), "_row", "left_semi").select("_row", "_text")
+    steps = F.zip_with(F.split("_text", TERM, -1), F.regexp_extract_all("_text", F.lit(TERM), F.lit(0)), lambda g, h: F.struct((F.length(g) + F.coalesce(F.length(h), F.lit(0))).alias("step"), F.length(h).alias("n"), F.lower(h).alias("t")))
+    ends = F.sum("x.step").over(Window.partitionBy("_row").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)).cast("int")
+    places = texts.select("_row", F.posexplode(steps).alias("i", "x")).select("_row", "x.t", "x.n", ends.alias("e"))
+    marked = places.join(told, ["_row", "t"]).withColumn("kind", F.when(F.col("share") >= REMOVE_AT, "remove").otherwise("generalise"))
+    span = F.struct((F.col("e") - F.col("n")).alias("s"), F.when(F.col("kind") == "remove", 4).otherwise(5).alias("k"), F.col("e"), F.col("kind"))
+    return marked.groupBy("_row").agg(F.array_sort(F.collect_list(span)).alias("_terms"))
 
 
 def _joined(docs: DataFrame, text_col: str, carried: list[Column]) -> DataFrame:
     scanned = _scanned(docs, text_col, carried)
-    rows = scanned.drop("_around").join(_term_spans(scanned, docs, text_col), "_row", "left")
+    rows = scanned.join(_term_spans(scanned), "_row", "left")
     bare = F.transform("_spans", lambda x: F.struct(x["s"], x["k"], x["e"], x["kind"]))
-    # a word marked for removal isn't also generalised; a word within a base span is covered already
+    # a word within a base span is covered already
     free = F.filter(
         F.coalesce("_terms", F.array().cast("array<struct<s:int,k:int,e:int,kind:string>>")),
-        lambda x: ~F.exists(F.col("_spans"), lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])) & ~((x["k"] == 5) & F.exists(F.col("_terms"), lambda o: (o["k"] == 4) & (o["s"] == x["s"]))),
+        lambda x: ~F.exists(F.col("_spans"), lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])),
     )
     return rows.withColumn("_all", F.array_sort(F.concat(bare, free)))
 

@@ -194,6 +194,45 @@ def test_pii_terms_of_entities_in_one_or_two_documents(spark):
     assert all(got[i] == "" for i in range(3, 33))
 
 
+def plain_term_spans(texts):
+    """The terms' spans by the definition, in plain Python."""
+    words = [[(m.start(), m.end(), m.group().lower()) for m in re.finditer(r"[^\W\d_]{3,}", t or "")] for t in texts]
+    base = [plain_spans(t or "") for t in texts]
+    entities = [{(k, t[s:e].lower()) for s, _, e, k in b} for t, b in zip(texts, base, strict=True)]
+    n, n_c, n_t, n_ct = len(texts), Counter(), Counter(), Counter()
+    for w, c in zip(words, entities, strict=True):
+        own = {x[2] for x in w}
+        n_c.update(c), n_t.update(own), n_ct.update((x, t) for x in c for t in own)
+    out = []
+    for w, c, b in zip(words, entities, base, strict=True):
+        found = []
+        for s, e, t in w:
+            share = max((np.log(n * n_ct[x, t] / (n_c[x] * n_t[t])) / np.log(n / n_c[x]) for x in c if n_c[x] < n), default=0)
+            if share >= pii.GENERALISE_AT and not any(s < y[2] and y[0] < e for y in b):
+                found.append((s, 4, e, "remove") if share >= pii.REMOVE_AT else (s, 5, e, "generalise"))
+        out.append(",".join(f"{k}:{s}:{e}" for s, _, e, k in sorted([*b, *found])))
+    return out
+
+
+def test_pii_terms_anywhere_in_the_text(spark):
+    far = " ".join(["please wait today and call at noon"] * 10)
+    texts = [f"Quillon, {far} q@firm.example {far} yours, Quillon"] + [f"please wait today and call at noon yours {i}" for i in range(30)]
+    got = {r.doc_id: r.spans for r in pii.find(docs_of(spark, texts)).collect()}
+    assert got[0] == ",".join([f"{k}:{s}:{e}" for k, s, e in [("remove", 0, 7), ("email", texts[0].index("q@"), texts[0].index("q@") + 14), ("remove", len(texts[0]) - 7, len(texts[0]))]])
+    assert got[0] == plain_term_spans(texts)[0] and all(got[i] == "" for i in range(1, 31))
+    rng = random.Random(15)
+    names = [f"{a}{b}" for a in ("Éla", "bro", "日本語", "Quo", "mer") for b in ("nick", "ßen", "vast")]
+    values = ["a@b.example", "jane.brovast@c.example", "+49 30 1234567", "10.1.2.3", "4111 1111 1111 1111"]
+    texts = [None, "", *(" ".join(rng.choice([rng.choice(names), prose(rng, 3), prose(rng, 3), "😀", rng.choice(values) if i % 4 == 0 else "x"]) for _ in range(rng.randint(1, 40))) for i in range(150))]
+    texts += texts[2:40:6]
+    texts += [f"{prose(rng, 20)} one{'x' * i} z{i}@d.example twice{'y' * (i // 2)} +1 555 010 99{i // 2:02}" for i in range(20)]
+    texts += [f"{prose(rng, 9)} Halvard{' +44 20 7946 0000' if i else ''}" for i in range(11)]
+    got = {r.doc_id: r.spans for r in pii.find(docs_of(spark, texts)).collect()}
+    want = plain_term_spans(texts)
+    assert [got[i] for i in range(len(texts))] == want
+    assert any("remove" in w for w in want) and any("generalise" in w for w in want)
+
+
 def test_language_identification(spark, empty):
     rng = random.Random(6)
     words = {"aa": ("lomi", "tesa", "ruvo", "kima"), "bb": ("strak", "blund", "fjork", "grumt"), "cc": ("шила", "море", "ветер")}
