@@ -141,10 +141,9 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", toxic_ro
         return None
     pair = dictionaries(toxic, ordinary)
     distances = Distances(*pair)
-    used = ordinary[: max(500, len(toxic))]
-    x = np.array([distances.features(t) for t in (*toxic, *used)])
-    y = np.array([1.0] * len(toxic) + [0.0] * len(used))
-    weight = np.where(y == 1, total[1] / len(toxic), total[0] / len(used))
+    x = np.array([distances.features(t) for t in (*toxic, *ordinary)])
+    y = np.array([1.0] * len(toxic) + [0.0] * len(ordinary))
+    weight = np.where(y == 1, total[1] / len(toxic), total[0] / len(ordinary))
     return (*pair, *fit_curve(x, y, weight * len(y) / weight.sum()))
 
 

@@ -293,6 +293,17 @@ def test_toxicity_finds_marked_documents(spark, empty):
     assert {r.score for r in toxicity.score_corpus(d, labels.where("toxic = 0")).collect()} == {0.0}
 
 
+def test_toxicity_curve_sees_the_whole_sample(spark, monkeypatch):
+    seen, fit = [], toxicity.fit_curve
+    monkeypatch.setattr(toxicity, "fit_curve", lambda x, y, weight: seen.append((len(x), int(y.sum()))) or fit(x, y, weight))
+    rng = random.Random(16)
+    d = docs_of(spark, [prose(rng, 20) + (" blargface" if i < 40 else "") for i in range(740)])
+    labels = spark.createDataFrame([(i, 1, int(i < 40)) for i in range(740)], "doc_id long, quality int, toxic int")
+    toxicity.train(d, labels)
+    toxicity.train(d, labels, ordinary_rows=600)
+    assert seen == [(740, 40), (640, 40)]
+
+
 def plain_groups(texts):
     sets = []
     for t in texts:
