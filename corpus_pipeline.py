@@ -15,10 +15,13 @@ from sitelode.llm.queries import tokenizer_path
 from sitelode.llm.scratch import kept
 from sitelode.shipping import shipped
 
+#: Least score of a language: below it no n-gram is in any profile, as one that is gives 1 / DEPTH ** 2 (1.1e-5) at least.
+LEAST_SCORE = 1e-6
+
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can't be told go: null texts and texts without letters."""
-    return language_id.accepted(docs, language_id.profiles(docs.where(~held_out())))
+    """Documents whose language can't be told go: null texts, texts without letters, and texts none of whose n-grams any profile holds."""
+    return language_id.accepted(docs, language_id.profiles(docs.where(~held_out())), LEAST_SCORE)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -34,6 +34,13 @@ def test_stages_keep_columns_and_take_effect(spark):
     assert packed.select("doc_id").distinct().count() == clean.count()
 
 
+def test_texts_of_unlearned_scripts_go(spark):
+    texts = ["stone river walks under bright moon"] * 20 + ["шила море", "日本語", "море stone", None, "12"]
+    rows = [(i, t, "en" if i < 20 else None) for i, t in enumerate(texts)]
+    told = corpus_pipeline.language(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string"), DATA)
+    assert {r.doc_id for r in told.collect()} == {*range(20), 22}
+
+
 def test_whole_run(spark):
     assert len(corpus_pipeline.STAGES) == 5 and corpus_pipeline.run(spark, DATA).count() > 0
     assert jaccard_join.required(4, 4) == 4
