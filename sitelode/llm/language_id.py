@@ -26,7 +26,7 @@ from .common import chunks, held_out
 LETTERS = re.compile(r"[^\W\d_]+")
 UNDETERMINED = "und"
 #: Lengths of the n-grams, n-grams in a profile, distinct words and n-grams a worker holds.
-MAX_N, DEPTH, HELD_WORDS, HELD_GRAMS = 3, 300, 500_000, 300_000
+MAX_N, DEPTH, HELD_WORDS, HELD_GRAMS = 4, 300, 500_000, 300_000
 #: Languages beyond which profiles no longer go to every executor whole.
 MAX_LANGUAGES = 2_000
 

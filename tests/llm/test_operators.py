@@ -252,6 +252,11 @@ def test_language_identification(spark, empty):
     assert alone[0].lang_pred == "und"
 
 
+def test_language_profiles_hold_four_letters(spark):
+    rows = language_id.profiles(docs_of(spark, ["stone lanterns"] * 3)).collect()
+    assert {len(r.gram) for r in rows} == {1, 2, 3, 4} and "ston" in {r.gram for r in rows}
+
+
 def test_quality_base_counts(spark, docs, empty):
     assert quality_rules.repeated_words(b"a b c a b c d".split()) == 6 and quality_rules.repeated_words(b"a a a a".split()) == 4 and quality_rules.repeated_words(b"a b".split()) == 0
     rng = random.Random(8)
