@@ -329,9 +329,9 @@ def plain_groups(texts):
     return [root(i) for i in range(len(texts))], [len(s) for s in sets]
 
 
-@pytest.mark.parametrize("limit", [jaccard_join.BROADCAST_PAIRS, 0])
+@pytest.mark.parametrize("limit", [jaccard_join.BROADCAST_ROWS, 0])
 def test_jaccard_join_against_all_pairs(spark, empty, limit, monkeypatch):
-    monkeypatch.setattr(jaccard_join, "BROADCAST_PAIRS", limit)
+    monkeypatch.setattr(jaccard_join, "BROADCAST_ROWS", limit)
     monkeypatch.setattr(jaccard_join, "BLOCK", 4)
     rng = random.Random(11)
     vocabulary = [f"w{i}" for i in range(400)]
