@@ -15,7 +15,7 @@ digest of the set; all that follows works on classes, and copies are never paire
     become one component: a group of near copies costs about a pair a member, as rarest-first lists repeat their members.
 5.  The rest. Components that meet in a list form clusters. Within a cluster, sets are dealt into blocks of BLOCK by size
     band; blocks of the same band and of neighbouring bands meet, each set searches the other block's lists, and pairs of
-    different components that share what they must are verified. No pair that could link is left untested.
+    different components that share what they must are verified there. No pair that could link is left untested.
 
 The search of 4 and 5 is T-occurrence search: the set's shingles pick the inverted lists of the block, the longest of which
 are put aside; the short ones are heap-merged, whatever occurs T - L times or more is looked up in the L long ones by binary
@@ -375,20 +375,20 @@ class Lists:
         self.begin = _runs(joined) if len(joined) else np.zeros(0, np.int64)
         self.tokens, self.end = joined[self.begin], np.append(self.begin[1:], len(joined))
 
-    def search(self, query: np.ndarray, need: np.ndarray) -> list[int]:
+    def search(self, query: np.ndarray, need: np.ndarray) -> np.ndarray:
         """Sets of the block that share with the query what each needs."""
         if not len(self.tokens) or not len(need):
-            return []
+            return np.zeros(0, np.int64)
         at = np.minimum(np.searchsorted(self.tokens, query), len(self.tokens) - 1)
         at = at[self.tokens[at] == query]
         found = divide_skip([self.owner[self.begin[i] : self.end[i]] for i in at], int(need.min()))
-        return [i for i, shared in found.items() if shared >= need[i]]
+        return np.array([i for i, shared in found.items() if shared >= need[i]], np.int64)
 
 
 NEVER = 1 << 40
 
 
-def search(query: np.ndarray, n: int, candidates: list[np.ndarray], sizes: np.ndarray) -> list[int]:
+def search(query: np.ndarray, n: int, candidates: list[np.ndarray], sizes: np.ndarray) -> np.ndarray:
     """Which candidates link with the query, all given by what they share with any other set, and their whole sizes."""
     return Lists(candidates).search(query, required(n, sizes))
 
@@ -499,7 +499,9 @@ def _mixed(named: DataFrame) -> DataFrame:
 
 
 def rest(named: DataFrame) -> DataFrame:
-    """(a, b): pairs of classes of different components whose prefixes share what linked sets must. named: sets with their component."""
+    """(a, b): links between components, at least one for any two that have links. named: sets with their component.
+
+    What a set's search finds is verified on the spot, and of its links with one component in one block one is given."""
     edges = kept(_mixed(named))
     clusters = components(edges, "u", "v").select(F.col("node").alias("component"), F.col("component").alias("cluster"))
     inside = kept(named.join(_small(clusters), "component").select("class", "n", "listed", "tokens", "component", "cluster", F.floor(F.log("n") / math.log(DEN / NUM)).cast("int").alias("band")))
@@ -519,7 +521,7 @@ def rest(named: DataFrame) -> DataFrame:
         F.transform(to(F.col("lower")), lambda j: meeting(band - 1, j, band, block, 1)),
         F.transform(to(F.col("upper")), lambda j: meeting(band, block, band + 1, j, 0)),
     )
-    rows = placed.select("class", "n", "component", F.expr("substring(tokens, 1, 8 * listed)").alias("tokens"), "cluster", F.explode(F.filter(pairs, lambda x: x.isNotNull())).alias("p")).select("class", "n", "component", "tokens", "cluster", "p.*")
+    rows = placed.select("class", "n", "component", "listed", "tokens", "cluster", F.explode(F.filter(pairs, lambda x: x.isNotNull())).alias("p")).select("class", "n", "component", "listed", "tokens", "cluster", "p.*")
     key = ("cluster", "low", "lower_block", "high", "upper_block")
     n_rows = placed.agg(F.sum(F.col("own") + F.col("lower") + F.col("upper"))).first()[0] or 0
 
@@ -529,7 +531,8 @@ def rest(named: DataFrame) -> DataFrame:
             name, n, comp, side = (one[c].to_numpy() for c in ("class", "n", "component", "side"))
             if (comp == comp[0]).all():
                 continue
-            held = [np.frombuffer(x, np.uint64) for x in one["tokens"].to_pylist()]
+            whole = [np.frombuffer(x, np.uint64) for x in one["tokens"].to_pylist()]
+            held = [x[:k] for x, k in zip(whole, one["listed"].to_pylist(), strict=True)]
             same = one["low"][0].as_py() == one["high"][0].as_py() and one["lower_block"][0].as_py() == one["upper_block"][0].as_py()
             queries, block = np.flatnonzero(side == 0), np.flatnonzero(side == (0 if same else 1))
             # the largest component of the block has lists of its own, which its own members needn't search
@@ -545,9 +548,11 @@ def rest(named: DataFrame) -> DataFrame:
                     if same:
                         fits &= part > q
                     if fits.any():
-                        hit = lists.search(held[q], np.where(fits, least_shared(n[q], n[part]), NEVER))
-                        a += [int(name[q])] * len(hit)
-                        b += [int(name[part[i]]) for i in hit]
+                        hit = part[lists.search(held[q], np.where(fits, least_shared(n[q], n[part]), NEVER))]
+                        linked = hit[search(whole[q], int(n[q]), [whole[i] for i in hit], n[hit])] if len(hit) else hit
+                        one_each = linked[np.unique(comp[linked], return_index=True)[1]]
+                        a += [int(name[q])] * len(one_each)
+                        b += name[one_each].tolist()
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return kept(_dealt(rows, n_rows, 2 * BLOCK, *key).groupBy("group").applyInArrow(find, "a long, b long"))
@@ -563,7 +568,7 @@ def join(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> Dat
     named = sets.join(_small(groups), sets["class"] == groups["node"], "left").select("class", "n", "listed", "tokens", F.coalesce("component", "class").alias("component"))
     more = rest(kept(named))
     if more.limit(1).count():
-        groups = components(links.unionByName(verified(more, sets)))
+        groups = components(links.unionByName(more))
 
     # classes get their least id before the rows join, so that no component is a shuffle key of rows
     first = kept(rows.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")))
