@@ -28,11 +28,18 @@ from .common import BoundedCache, chunks, file_bytes, texts
 WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 AFTER_WHITE = re.compile(f"[{WHITE}] ")
 SEGMENT = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
-CACHE_SEGMENTS, CACHE_CHARS = 600_000, 48
+WHITES = frozenset(chr(c) for c in range(0x3001) if re.match(f"[{WHITE}]", chr(c)))
+#: Segments a worker remembers, the longest remembered, words encoded at a time.
+CACHE_SEGMENTS, CACHE_CHARS, JOINED = 300_000, 48, 64
 
 
 class ByteTokens:
-    """Ids of texts by a tokenizers file, remembered by segment. The file's added tokens keep their own ids."""
+    """Ids of texts by a tokenizers file, remembered by segment. The file's added tokens keep their own ids.
+
+    A segment is a word with the blank before it, named by the word alone; a text's first word, which has no blank before
+    it, is named with one. Texts with runs of white space are split into runs with what follows, named as they are after
+    a line feed and a blank, which no other name begins with.
+    """
 
     def __init__(self, spec: bytes):
         from tokenizers import Tokenizer
@@ -40,26 +47,57 @@ class ByteTokens:
         self.library = Tokenizer.from_buffer(spec)
         self.added = {str(t.content): i for i, t in self.library.get_added_tokens_decoder().items()}
         self.cache = BoundedCache(CACHE_SEGMENTS)
+        blank = self.library.encode(" a", add_special_tokens=False).tokens[0][0]
+        self.opens = np.zeros(self.library.get_vocab_size(), bool)  # ids of pieces that begin with a blank
+        for piece, i in self.library.get_vocab().items():
+            self.opens[i] = piece.startswith(blank)
 
-    def segments(self, text: str) -> list[str]:
+    def names(self, text: str) -> list[str]:
         if AFTER_WHITE.search(text):
-            return SEGMENT.findall(text)
-        first, *rest = text.split(" ")
-        return [first, *(" " + p for p in rest)] if first else [" " + p for p in rest]
+            return ["\n " + x for x in SEGMENT.findall(text)]
+        out = text.split(" ")
+        if out[0]:
+            out[0] = " " + out[0]
+        else:
+            del out[0]
+        return out
+
+    def _each(self, segments: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(segments, add_special_tokens=False)]
+
+    def learn(self, new: list[str]) -> dict[str, bytes]:
+        """Ids of segments by name. Words go to the library JOINED at a time, as the blank before each keeps them apart."""
+        apart = [w for w in new if not w or w[0] in WHITES or w[-1] in WHITES]
+        out = dict(zip(apart, self._each([w[2:] if w.startswith("\n ") else w[1:] if w.startswith(" ") else " " + w for w in apart]), strict=True))
+        words = [w for w in new if w not in out] if apart else new
+        groups = [words[i : i + JOINED] for i in range(0, len(words), JOINED)]
+        for group, e in zip(groups, self.library.encode_batch_fast([" " + " ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            begin = np.flatnonzero(self.opens[ids])
+            if len(begin) == len(group) and begin[0] == 0:
+                raw, at = ids.tobytes(), [*(4 * begin).tolist(), 4 * len(ids)]
+                out.update(zip(group, [raw[x:y] for x, y in zip(at, at[1:], strict=False)], strict=True))
+            else:
+                out.update(zip(group, self._each([" " + w for w in group]), strict=True))
+        return out
 
     def encode(self, batch: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         whole = {i for i, t in enumerate(batch) if t and any(a in t for a in self.added)}  # rare: the library takes them as they are
-        split = [self.segments(t) if t and i not in whole else [] for i, t in enumerate(batch)]
-        cache, met = self.cache, set().union(*split)
-        cache.room(len(met))
-        known = cache
-        if new := list(met.difference(cache)):
-            found = {s: np.array(e.ids, "<u4").tobytes() for s, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True)}
-            cache.update((s, b) for s, b in found.items() if len(s) <= CACHE_CHARS)
-            if long := {s: b for s, b in found.items() if len(s) > CACHE_CHARS}:
-                known = {s: cache[s] for s in met if s not in long} | long
-        out = [b"".join(map(known.__getitem__, s)) for s in split]
+        split = [self.names(t) if t and i not in whole else [] for i, t in enumerate(batch)]
+        known = self.cache
+        new = {w for s in split for w in s if w not in known}
+        if len(known) + len(new) > known.bound:
+            known.clear()
+            new = set().union(*split)
+        if new:
+            found = self.learn(list(new))
+            long = [w for w in new if len(w) > CACHE_CHARS]
+            known.update(found)
+        out = [b"".join([known[w] for w in s]) for s in split]
+        if new:
+            for w in long:
+                del known[w]
         for i in whole:
             out[i] = np.array(self.library.encode(batch[i], add_special_tokens=False).ids, "<u4").tobytes()
         return out
