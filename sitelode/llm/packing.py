@@ -30,7 +30,7 @@ AFTER_WHITE = re.compile(f"[{WHITE}] ")
 SEGMENT = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 WHITES = frozenset(chr(c) for c in range(0x3001) if re.match(f"[{WHITE}]", chr(c)))
 #: Segments a worker remembers, the longest remembered, words encoded at a time.
-CACHE_SEGMENTS, CACHE_CHARS, JOINED = 300_000, 48, 64
+CACHE_SEGMENTS, CACHE_CHARS, JOINED = 600_000, 48, 64
 
 
 class ByteTokens:
