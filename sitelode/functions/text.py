@@ -26,12 +26,16 @@ def squeezed(text: Column | str) -> Column:
     return F.btrim(F.regexp_replace(F.lower(column(text)), r"(?U)\s+", " "))
 
 
+# Marks and words of pagers.
+NEXT_MARKS, PREVIOUS_MARKS = "[›»→]", "[‹«←]"
+
+
 def page_direction(label: Column | str) -> Column:
     """next or prev for a pager's label, else null."""
     text = column(label)
     bare = F.btrim(F.translate(text, "›»→‹«←", ""))
     return (
-        F.when((bare == "") & text.rlike("[›»→]"), "next").when((bare == "") & text.rlike("[‹«←]"), "prev")
+        F.when((bare == "") & text.rlike(NEXT_MARKS), "next").when((bare == "") & text.rlike(PREVIOUS_MARKS), "prev")
         .when(bare.rlike("^(next|older)( page)?$"), "next").when(bare.rlike("^(prev|previous|newer)( page)?$"), "prev")
     )
 

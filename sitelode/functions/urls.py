@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,6 +26,11 @@ def column(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value worked out once."""
+    return F.transform(F.array(value), body)[0]
+
+
 def url_part(url: Column | str, part: str) -> Column:
     """scheme, netloc, path, query or fragment; '' where there is none. Unlike parse_url() it gives up on no input."""
     at = ("scheme", "netloc", "path", "query", "fragment").index(part) + 1
@@ -69,29 +76,45 @@ def _joined(scheme: Column, netloc: Column, path: Column, query: Column, fragmen
     ))
 
 
-def _normal_parts(url: Column | str) -> dict[str, Column]:
-    scheme, netloc = url_part(url, "scheme"), url_part(url, "netloc")
-    host, port = hostname(url), F.regexp_extract(netloc, AUTHORITY, 2)
+def split_url(url: Column | str) -> Column:
+    """struct<scheme, netloc, path, query, fragment>, as url_part() gives them, with the URL cleaned once."""
+    def parts(u: Column) -> Column:
+        found = [F.regexp_extract(u, SPLIT, i + 1) for i in range(5)]
+        return F.struct(F.lower(found[0]).alias("scheme"), *(x.alias(n) for x, n in zip(found[1:], ("netloc", "path", "query", "fragment"), strict=True)))
+
+    return let(F.regexp_replace(F.trim(column(url)), "[\t\r\n]", ""), parts)
+
+
+def _normal_parts(p: Column) -> dict[str, Column]:
+    """The canonical parts of a split URL."""
+    scheme, netloc = p["scheme"], p["netloc"]
+    host, port = F.lower(F.regexp_extract(netloc, AUTHORITY, 1)), F.regexp_extract(netloc, AUTHORITY, 2)
     bad = (port != "") & (~port.rlike("^[0-9]{1,5}$") | (port.try_cast("int") > 65535))
     number = port.try_cast("int").cast("string")
     default = ((scheme == "http") & (number == "80")) | ((scheme == "https") & (number == "443"))
     place = F.when(bad, F.lit(None).cast("string")).when((port == "") | default, host).otherwise(F.concat(host, F.lit(":"), number))
-    path = F.regexp_replace(url_part(url, "path"), r"(?i);jsessionid=[^/?#]*", "")
+    path = F.regexp_replace(p["path"], r"(?i);jsessionid=[^/?#]*", "")
     path = F.when(F.rtrim(path, F.lit("/")) == "", "/").otherwise(F.rtrim(path, F.lit("/")))
-    fragment = url_part(url, "fragment")
-    return {"scheme": scheme, "netloc": place, "path": path, "query": normal_query(url_part(url, "query")), "fragment": F.when(fragment.rlike("^[/!]"), fragment).otherwise("")}
+    fragment = p["fragment"]
+    return {"scheme": scheme, "netloc": place, "path": path, "query": normal_query(p["query"]), "fragment": F.when(fragment.rlike("^[/!]"), fragment).otherwise("")}
+
+
+def _canonical(url: Column | str, of_path: Callable[[Column], Column] = lambda p: p) -> Column:
+    def joined(p: Column) -> Column:
+        parts = _normal_parts(p)
+        return let(F.struct(*(c.alias(n) for n, c in parts.items())), lambda q: _joined(q["scheme"], q["netloc"], of_path(q["path"]), q["query"], q["fragment"]))
+
+    return let(split_url(url), joined)
 
 
 def normalize_url(url: Column | str) -> Column:
     """The canonical form of a URL; null for null, and for a port that isn't one."""
-    return _joined(**_normal_parts(url))
+    return _canonical(url)
 
 
 def template_key(url: Column | str) -> Column:
     """The canonical form with volatile path segments as placeholders."""
-    p = _normal_parts(url)
-    p["path"] = F.array_join(F.transform(F.split(p["path"], "/"), lambda s: F.coalesce(normalize_id(s), s)), "/")
-    return _joined(**p)
+    return _canonical(url, lambda path: F.array_join(F.transform(F.split(path, "/"), lambda s: F.coalesce(normalize_id(s), s)), "/"))
 
 
 def is_page_url(url: Column | str) -> Column:

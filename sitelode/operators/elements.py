@@ -23,7 +23,7 @@ def ancestors(selector: Column) -> Column:
 
 def links(elements: DataFrame) -> DataFrame:
     """(page_id, url, doc_idx): crawlable targets of a page's elements, hidden ones too, each at its first place."""
-    target = normalize_url(F.col("computed.href"))
+    target = F.explode(F.array(normalize_url(F.col("computed.href"))))  # a generator's output is worked out once, filters don't repeat it
     found = elements.where(F.coalesce(F.col("computed.href"), F.lit("")) != "").select("page_id", target.alias("url"), "doc_idx")
     return found.where(F.col("url").isNotNull() & is_page_url("url")).groupBy("page_id", "url").agg(F.min("doc_idx").alias("doc_idx"))
 
@@ -94,10 +94,10 @@ def frame_tree(frames: DataFrame) -> DataFrame:
     spark = frames.sparkSession
     label = F.coalesce(F.nullif("name", F.lit("")), F.concat(F.lit("frame"), F.col("pos").cast("string")))
     named = frames.withColumn("base", F.when(F.col("parent_id").isNull(), "main").otherwise(label)).withColumn("origin", frame_origin("url"))
-    named.createOrReplaceTempView("_frames")
-    return spark.sql("""
+    return spark.sql(
+        """
         WITH RECURSIVE numbered AS (
-          SELECT *, row_number() OVER (PARTITION BY page_id, parent_id, base ORDER BY pos, frame_id) AS nth FROM _frames),
+          SELECT *, row_number() OVER (PARTITION BY page_id, parent_id, base ORDER BY pos, frame_id) AS nth FROM {named}),
         labelled AS (SELECT *, CASE WHEN nth = 1 THEN base ELSE concat(base, '#', nth) END AS label FROM numbered),
         tree(page_id, frame_id, path, origin, skip_reason) AS (
           SELECT page_id, frame_id, array(label), origin, CAST(CASE WHEN NOT readable THEN 'unreadable' END AS STRING) FROM labelled WHERE parent_id IS NULL
@@ -107,4 +107,6 @@ def frame_tree(frames: DataFrame) -> DataFrame:
                  WHEN c.origin IS NOT NULL AND c.origin <> t.origin THEN 'cross_origin'
                  WHEN NOT c.readable THEN 'unreadable' END
           FROM tree t JOIN labelled c ON c.page_id = t.page_id AND c.parent_id = t.frame_id)
-        SELECT * FROM tree""")
+        SELECT * FROM tree""",
+        named=named,
+    )

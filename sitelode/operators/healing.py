@@ -208,7 +208,10 @@ def resolve(store: DataFrame, elements: DataFrame, threshold: float = THRESHOLD,
     )
     taken = sure.unionByName(taken)
     left = held.join(taken.select(key), key, "left_anti")
-    rivals = scored(left.join(live.select("page_url", F.col("tag").alias("_tag"), "doc_idx", "new"), "page_url").where(F.col("old.tag").isNull() | (F.col("old.tag") == F.col("_tag"))))
+    others = live.select("page_url", F.col("tag").alias("_tag"), "doc_idx", "new")
+    by_tag = left.where("old.tag is not null").withColumn("_tag", F.col("old.tag")).join(others, ["page_url", "_tag"])
+    untagged = left.where("old.tag is null").join(others, "page_url")  # rare: elements of any tag compare
+    rivals = scored(by_tag.unionByName(untagged.select(by_tag.columns)))
     by = Window.partitionBy(*key).orderBy(F.desc("confidence"), "doc_idx")
     best = rivals.withColumn("_n", F.row_number().over(by)).withColumn("_rival", F.lead("confidence").over(by)).where("_n = 1").select(*key, "confidence", "_rival", "doc_idx", "new")
     best = left.join(best, key, "left").join(canvas_pages(elements).withColumn("_drawn", F.lit(True)), "page_url", "left")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import urls as U
 from ..operators import classify, discovery, elements, forms, healing, roles, rolediff, scripts
+from ..scratch import kept
 from ..sources import html
 from ..streaming import outbox
 
@@ -21,12 +22,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def captured(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Elements of the captured pages. A single small file is dealt out before it is parsed."""
+def captured(spark: SparkSession, sf_dir: str, often: bool = False) -> DataFrame:
+    """Elements of the captured pages. A single small file is dealt out before it is parsed; what is read often is written."""
     pages = table(spark, sf_dir, "pages")
     if pages.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism:
         pages = pages.repartition(spark.sparkContext.defaultParallelism)
-    return elements.with_ids(html.elements(pages))
+    found = elements.with_ids(html.elements(pages))
+    return kept(found) if often else found
 
 
 def sql_parts(source: str, url: str, keep: str) -> str:
@@ -130,12 +132,12 @@ def structural_hashes(spark, sf_dir):
 
 
 def page_types(spark, sf_dir):
-    return classify.classify(captured(spark, sf_dir)).select("page_id", "page_type", "confidence", F.to_json("scores").alias("scores"), F.to_json("signals").alias("signals"))
+    return classify.classify(captured(spark, sf_dir, often=True)).select("page_id", "page_type", "confidence", F.to_json("scores").alias("scores"), F.to_json("signals").alias("signals"))
 
 
 def page_manifest(spark, sf_dir):
     """The flagship: captured pages to elements, types and structure, and the pages that stay after variants are folded."""
-    e = captured(spark, sf_dir)
+    e = captured(spark, sf_dir, often=True)
     kinds = classify.classify(e).join(elements.structural_hash(e), "page_id")
     v = table(spark, sf_dir, "pages").select("page_id", U.normalize_url("url").alias("url")).join(kinds, "page_id").select(F.col("page_id").alias("visit_seq"), "url", "structural_hash", "page_type", F.lit("pending").alias("status"))
     return discovery.manifest(v).select("page_no", "url", "page_type", "structural_hash", F.size("variant_urls").cast("long").alias("n_variants"))
@@ -186,7 +188,8 @@ def _visits(spark, sf_dir):
 
 
 def role_reach(spark, sf_dir):
-    return _visits(spark, sf_dir).groupBy("role").agg(F.count("*").alias("n"))
+    pages = _visits(spark, sf_dir).withColumn("status", F.lit("extracted")).withColumn("variant_urls", F.array().cast("array<string>"))
+    return rolediff.reached(pages).groupBy("role").agg(F.count("*").alias("n"))
 
 
 def role_diff(spark, sf_dir):
@@ -222,11 +225,20 @@ def event_faults(spark, sf_dir):
     return e.groupBy(F.coalesce(outbox.event_fault(), F.lit("fine")).alias("fault")).agg(F.count("*").alias("n"))
 
 
+FINGERPRINT = {
+    "tag": "string", "id": "string", "id_normalized": "string", "name": "string", "classes": "array<string>", "attributes": "map<string,string>", "text_content": "string", "xpath": "string", "css_selector": "string",
+    "iframe_path": "array<string>", "shadow_path": "array<string>", "dom_context": "struct<tag_path:array<string>,parent_tag:string,parent_id:string,sibling_index:int,nearby_label_text:string>",
+}
+
+
 def name_jaccard(spark, sf_dir):
     """Likeness of each part's name to that of the part before it in its brand, by words."""
     before = F.lag("w").over(Window.partitionBy("p_brand").orderBy("p_partkey"))
     p = table(spark, sf_dir, "part").select("p_partkey", "p_brand", F.array_distinct(F.split("p_name", " ")).alias("w")).withColumn("v", before).where("v is not null")
-    return p.select("p_partkey", F.round(F.size(F.array_intersect("w", "v")) / F.size(F.array_union("w", "v")), 6).alias("likeness"))
+    same = [F.lit(None).cast(t).alias(f) for f, t in FINGERPRINT.items() if f not in ("tag", "classes")]
+    side = lambda c: F.struct(F.lit("a").alias("tag"), F.col(c).alias("classes"), *same)
+    pairs = healing.scored(p.select("p_partkey", side("v").alias("old"), side("w").alias("new")))
+    return pairs.select("p_partkey", F.round("sim_classes", 6).alias("likeness"))
 
 
 def text_similarity(spark, sf_dir):
@@ -254,16 +266,16 @@ def click_choices(spark, sf_dir):
 
 
 def page_specs(spark, sf_dir):
-    e = captured(spark, sf_dir)
+    e = captured(spark, sf_dir, often=True)
     s = scripts.page_specs(e, classify.classify(e))
     return s.select("page_id", "url", "page_type", "class_name", "function_name", F.size("elements").alias("n_elements"), "truncated", F.size("steps").alias("n_steps"))
 
 
 def heal_resolve(spark, sf_dir):
     """Fingerprints of the captured pages against the same pages with half of their links' texts changed."""
-    e = captured(spark, sf_dir).persist()
+    e = captured(spark, sf_dir, often=True)
     later = e.withColumn("text_content", F.when((F.col("tag") == "a") & (F.col("page_id") % 2 == 0), F.concat("text_content", F.lit(" now"))).otherwise(F.col("text_content")))
-    return healing.resolve(healing.fingerprints(e).persist(), later).groupBy("outcome", "kind", "strategy", "reason").agg(F.count("*").alias("n"))
+    return healing.resolve(kept(healing.fingerprints(e)), later).groupBy("outcome", "kind", "strategy", "reason").agg(F.count("*").alias("n"))
 
 
 _FOUND = (

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,33 +45,44 @@ def _fs(spark: SparkSession, path: str):
 
 
 class SnapshotStore:
-    """Fingerprints and history that change together: both go under a new snapshot, then one pointer file is swapped."""
+    """Fingerprints and history that change together: both go under a new snapshot, then a pointer of its number appears.
+
+    The highest pointer counts, so a writer that fails leaves the last snapshot standing; pointers are made by a rename
+    that fails where one is there already, so of two writers of one number the second starts again with the next.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
     def current(self) -> int | None:
-        fs, p = _fs(self.spark, f"{self.root}/current.json")
-        if not fs.exists(p):
+        fs, p = _fs(self.spark, f"{self.root}/pointers")
+        names = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+        numbers = [int(n.split(".")[0]) for n in names if n.endswith(".json")]
+        if not numbers:
             return None
-        state = json.loads(self.spark.read.text(f"{self.root}/current.json").first()[0])
+        state = json.loads(self.spark.read.text(f"{self.root}/pointers/{max(numbers):012d}.json").first()[0])
         if state["version"] > SCHEMA_VERSION:
             raise RuntimeError(f"the store is of a newer version: {state['version']}")
         return state["snapshot"]
 
     def read(self, table: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/snapshot={self.current()}/{table}")
+        return self.spark.read.parquet(f"{self.root}/{self._place(self.current())}/{table}")
+
+    def _place(self, number: int) -> str:
+        return json.loads(self.spark.read.text(f"{self.root}/pointers/{number:012d}.json").first()[0])["place"]
 
     def commit(self, fingerprints: DataFrame, history: DataFrame) -> int:
-        number = (self.current() or 0) + 1
+        mark = uuid.uuid4().hex
+        place = f"snapshots/{mark}"
         for name, rows in (("fingerprints", fingerprints), ("history", history)):
-            rows.write.mode("overwrite").parquet(f"{self.root}/snapshot={number}/{name}")
-        fs, new = _fs(self.spark, f"{self.root}/_next.json")
-        out = fs.create(new, True)
-        out.write(bytearray(json.dumps({"version": SCHEMA_VERSION, "snapshot": number}).encode()))
-        out.close()
-        _, at = _fs(self.spark, f"{self.root}/current.json")
-        fs.delete(at, False)
-        if not fs.rename(new, at):
-            raise RuntimeError("the pointer couldn't be swapped")
-        return number
+            rows.write.parquet(f"{self.root}/{place}/{name}")
+        while True:
+            number = (self.current() or 0) + 1
+            fs, new = _fs(self.spark, f"{self.root}/{place}/pointer.json")
+            out = fs.create(new, True)
+            out.write(bytearray(json.dumps({"version": SCHEMA_VERSION, "snapshot": number, "place": place}).encode()))
+            out.close()
+            _, at = _fs(self.spark, f"{self.root}/pointers/{number:012d}.json")
+            fs.mkdirs(at.getParent())
+            if not fs.exists(at) and fs.rename(new, at):
+                return number

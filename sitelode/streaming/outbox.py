@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -9,6 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import iso_utc
 
+LOG = logging.getLogger(__name__)
+
 # What must be equal for equal results.
 EVENT_FIELDS = {
     "page_discovered": ("url", "page_type", "structural_hash"),
@@ -88,13 +91,19 @@ def received_once(stream: DataFrame, watermark: str = "1 hour", ts: str = "ts")
 
 
 def fan_out(stream: DataFrame, sinks: list[Callable[[DataFrame, int], None]], checkpoint: str):
-    """Every batch to every sink; a batch is read once. Returns the running query, which ends with what is there."""
+    """Every batch to every sink; a batch is read once. Returns the running query, which ends with what is there.
+
+    A sink that fails is logged and left out of that batch; it neither stops the stream nor keeps the others from theirs.
+    """
 
     def each(batch: DataFrame, number: int) -> None:
         batch.persist()
         try:
             for sink in sinks:
-                sink(batch, number)
+                try:
+                    sink(batch, number)
+                except Exception:
+                    LOG.exception("a sink failed on batch %s", number)
         finally:
             batch.unpersist()
 
