@@ -32,8 +32,10 @@ from .common import BLANKS, ascii_lower, chunks, texts
 from .scratch import kept
 
 #: Distinct keys a worker counts before it hands its counts on.
-PARTIAL_KEYS = 500_000
+PARTIAL_KEYS = 200_000
 SLOTS = 4
+#: Bytes of filters that go to the executors whole, and 64 times the most false claims that go with them.
+BROADCAST_BYTES = 64_000_000
 REFS_DDL = "shard int, key binary, n_docs long"
 
 
@@ -245,7 +247,7 @@ def _emitter(shape: str, names: list[str], text_col: str):
     return emit
 
 
-def dedup(docs: DataFrame, refs: DataFrame, min_docs: int = 10, shards: int = 256, broadcast_bytes: int = 256_000_000, text_col: str = "text", id_col: str = "doc_id", shape: str = "text") -> DataFrame:
+def dedup(docs: DataFrame, refs: DataFrame, min_docs: int = 10, shards: int = 256, broadcast_bytes: int = BROADCAST_BYTES, text_col: str = "text", id_col: str = "doc_id", shape: str = "text") -> DataFrame:
     """Documents without the lines that are frequent by the reference counts of a corpus.
 
     shape: "text" gives (doc_id, n_lines, n_dropped, text), "digest" kept_sha256 in place of the text, "rows" the rows and
@@ -289,7 +291,8 @@ def dedup(docs: DataFrame, refs: DataFrame, min_docs: int = 10, shards: int = 25
 
 def _joined(table: DataFrame, at: str, frequent: DataFrame, ddl: str, emit) -> DataFrame:
     """The same without anything broadcast: each row's distinct keys meet the frequent keys, and go back to the row."""
-    numbered = kept(table.withColumn("_row", F.monotonically_increasing_id()))
+    row, hit, found = (_free(n, table.columns) for n in ("row", "hit", "keys"))
+    numbered = kept(table.withColumn(row, F.monotonically_increasing_id()))
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -297,21 +300,28 @@ def _joined(table: DataFrame, at: str, frequent: DataFrame, ddl: str, emit) -> D
                 pairs = [(r, digest(k)) for r, t in zip(part.column("row").to_pylist(), part.column("text").to_pylist(), strict=True) for k in sorted(set(map(line_key, (t or "").split("\n")))) if k]
                 yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in pairs], pa.int64()), pa.array([k for _, k in pairs], pa.binary())], names=["row", "key"])
 
-    hits = numbered.select(F.col("_row").alias("row"), F.col(at).alias("text")).mapInArrow(keys, "row long, key binary")
-    hits = hits.join(frequent.hint("merge"), "key").groupBy(F.col("row").alias("_hit")).agg(F.collect_list("key").alias("_keys"))
+    hits = numbered.select(F.col(row).alias("row"), F.col(at).alias("text")).mapInArrow(keys, "row long, key binary")
+    hits = hits.join(frequent.hint("merge"), "key").groupBy(F.col("row").alias(hit)).agg(F.collect_list("key").alias(found))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch):
                 drops = []
-                for t, ks in zip(part.column(at).to_pylist(), part.column("_keys").to_pylist(), strict=True):
+                for t, ks in zip(part.column(at).to_pylist(), part.column(found).to_pylist(), strict=True):
                     lines, hot = (t or "").split("\n"), set(ks or ())
                     drops.append((lines, [bool(k := line_key(x)) and digest(k) in hot for x in lines] if hot else [False] * len(lines)))
                 yield emit(part, drops)
 
-    return numbered.join(hits, F.col("_row") == F.col("_hit"), "left").drop("_hit", "_row").mapInArrow(run, ddl)
+    return numbered.join(hits, F.col(row) == F.col(hit), "left").drop(hit, row).mapInArrow(run, ddl)
 
 
-def dedup_corpus(docs: DataFrame, min_docs: int = 10, shards: int = 256, shape: str = "text", broadcast_bytes: int = 256_000_000, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+def _free(name: str, columns: list[str]) -> str:
+    """A column name that isn't taken."""
+    while name.lower() in {c.lower() for c in columns}:
+        name = "_" + name
+    return name
+
+
+def dedup_corpus(docs: DataFrame, min_docs: int = 10, shards: int = 256, shape: str = "text", broadcast_bytes: int = BROADCAST_BYTES, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """dedup() of a table against its own counts. The counts are written to the checkpoint folder once."""
     return dedup(docs, kept(references(docs, shards, text_col, id_col)), min_docs, shards, broadcast_bytes, text_col, id_col, shape)

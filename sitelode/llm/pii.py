@@ -152,7 +152,7 @@ def find(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> Dat
 
 def sanitise(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The same rows and columns, with every span of the text replaced: [EMAIL] and so on, [TERM], or nothing for removed terms."""
-    rows = _joined(docs, text_col, [docs[c] for c in docs.columns])
+    rows = _joined(docs, text_col, [F.struct(*(docs[c] for c in docs.columns)).alias("doc")])  # within a struct no name clashes
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(a, x):
@@ -161,4 +161,5 @@ def sanitise(docs: DataFrame, text_col: str = "text") -> DataFrame:
         return F.when(x["s"] < a["at"], within).otherwise(F.struct(x["e"].alias("at"), F.concat(a["out"], F.substring(F.col("_text"), a["at"] + 1, x["s"] - a["at"]), name).alias("out")))
 
     new = F.aggregate("_all", start, step, lambda a: F.concat(a["out"], F.substring(F.col("_text"), a["at"] + 1, F.lit(2**31 - 1))))
-    return rows.select(*(F.when(F.size("_all") > 0, new).otherwise(F.col(c)).alias(c) if c == text_col else F.col(c) for c in docs.columns))
+    was = F.col("doc")
+    return rows.select(*(F.when(F.size("_all") > 0, new).otherwise(was[c]).alias(c) if c == text_col else was[c].alias(c) for c in docs.columns))

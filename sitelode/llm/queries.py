@@ -50,7 +50,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.join(table(spark, sf_dir, "documents"))
+    return jaccard_join.join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,4 +60,17 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_sentencepiece, op2_packing, op3_line_dedup, op4_token_counts, op5_pii, op6_language_id, op7_quality_rules, op8_toxicity, op9_jaccard_join, op10_fingerprints)
 }
-SQL: dict[str, str] = {}
+_UPPER, _LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ'", "'abcdefghijklmnopqrstuvwxyz'"
+_BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+SQL: dict[str, str] = {
+    "op3_line_dedup": f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+      l AS (SELECT r, doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM d), k AS (SELECT *, translate(trim(line, {_BLANKS}), {_UPPER}, {_LOWER}) AS key FROM l),
+      f AS (SELECT key, count(DISTINCT r) >= 10 AND key <> '' AS often FROM k GROUP BY key)
+      SELECT doc_id, count(*) AS n_lines, count(*) FILTER (often) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT often), '')) AS kept_sha256 FROM k JOIN f USING (key) GROUP BY r, doc_id""",
+    "op9_jaccard_join": f"""WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), {_UPPER}, {_LOWER}), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+      s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM w),
+      t AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+      p AS (SELECT a.doc_id AS x, b.doc_id AS y FROM t a JOIN t b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+      e AS (SELECT x, y FROM p UNION ALL SELECT y, x FROM p), r(node, reach) AS (SELECT DISTINCT x, x FROM e UNION SELECT r.node, e.y FROM r JOIN e ON e.x = r.reach)
+      SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, coalesce(min(r.reach), s.doc_id) AS component_id FROM s LEFT JOIN r ON r.node = s.doc_id GROUP BY s.doc_id, len(s.s)""",
+}
