@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last keep the columns of `documents`. A stage's
 result is written as Parquet and read again as the next one's docs, in the folder named by spark.checkpoint.dir.
+
+Defined cases, for every stage: an empty table gives an empty table; columns besides those of `documents` are carried by all
+stages but the last, whatever their names; a null id is kept as it is. Each stage states what nulls, ties and repeated rows
+come to.
 """
 
 from __future__ import annotations
@@ -20,27 +24,33 @@ LEAST_SCORE = 1e-6
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can't be told go: null texts, texts without letters, and texts none of whose n-grams any profile holds."""
+    """Documents whose language can't be told go: null texts, texts without letters, and texts none of whose n-grams any profile holds.
+
+    Repeated rows are judged alike; of equally near languages the first by name is taken, which removes nobody."""
     return language_id.accepted(docs, language_id.profiles(docs.where(~held_out())), LEAST_SCORE)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines found in ten documents or more go, everywhere."""
+    """Lines found in ten documents or more go, everywhere. A null text has one empty line, which never goes, and stays null; a
+    line repeated in one document counts once; repeated rows count as documents."""
     return line_dedup.dedup_corpus(docs, shape="rows")
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one of smallest id stays."""
+    """Of each group of linked documents the one of smallest id stays; of rows that repeat an id and a text one stays. Null and
+    empty texts link with nothing and stay; rows without an id stay."""
     return jaccard_join.one_of_each(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data and disclosing terms are replaced in the texts."""
+    """Personal data and disclosing terms are replaced in the texts. Null texts stay null; of overlapping spans the first names
+    the placeholder; repeated rows each count and are each replaced."""
     return pii.sanitise(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents, laid into sequences."""
+    """Pieces of all documents, laid into sequences. A null text has the closing id alone; repeated rows are packed each for
+    itself."""
     return packing.pack(docs, tokenizer_path("byte_bpe_50k.json"))
 
 
