@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import sequence_ratio, text_similarity, xpath_tags
-from ..functions.urls import normalize_id
+from ..functions.urls import normalize_id, normalize_url
 from .roles import STABLE_ATTRIBUTES, assign_roles, visible
 
 # What must be equal for equal results.
@@ -133,6 +133,18 @@ def scored(pairs: DataFrame, old: str = "old", new: str = "new") -> DataFrame:
     return pairs.withColumn("confidence", F.round(raw * evidence, 4)).withColumn("raw", F.round(raw, 4)).withColumn("evidence", F.round(evidence, 4)).drop("_w", "_t")
 
 
+def explained() -> Column:
+    """Of rows of scored(): each signal's similarity to three places, null where the two can't be compared."""
+    return F.create_map(*(x for k in WEIGHTS for x in (F.lit(k), F.round(F.col(f"sim_{k}"), 3))))
+
+
+def coverage(pages: DataFrame, store: DataFrame) -> DataFrame:
+    """(page_url, stored): how many fingerprints the store (page_url, ...) has of each page (url), by canonical URL."""
+    wanted = pages.select(normalize_url("url").alias("page_url")).where("page_url is not null").distinct()
+    held = store.groupBy("page_url").agg(F.count("*").alias("stored"))
+    return wanted.join(held, "page_url", "left").select("page_url", F.coalesce("stored", F.lit(0)).alias("stored"))
+
+
 def offered(name: str) -> Column:
     """The weight of the signals that a fingerprint has something to compare for: what a comparison with itself weighs."""
     s = F.col(name)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import urls as U
-from ..operators import classify, discovery, elements, forms, healing, roles, rolediff, scripts
+from ..operators import access, classify, discovery, elements, forms, healing, roles, rolediff, scripts
 from ..scratch import kept
 from ..sources import html
 from ..streaming import outbox
@@ -220,9 +220,41 @@ def golden_payload(spark, sf_dir):
     return e.withColumn("ts", F.to_timestamp(F.lit("2026-01-02 03:04:05"))).select(outbox.payload().alias("payload"))
 
 
+def golden_signatures(spark, sf_dir):
+    """Published test vectors of HMAC-SHA256: a short key, and one longer than a block."""
+    e = spark.createDataFrame([("what do ya want for nothing?", "Test Using Larger Than Block-Size Key - Hash Key First")], "a string, b string")
+    return e.select(outbox.signature("Jefe", "a").alias("short"), outbox.signature(b"\xaa" * 131, "b").alias("long"))
+
+
+ROLES = ["admin", "read-only", "read_only", "admin", "Admin", "pages", "9lives", None, "guest", "a" * 33]
+
+
+def golden_role_names(spark, sf_dir):
+    rows = spark.createDataFrame(list(enumerate(ROLES)), "n long, role string")
+    return access.role_faults(rows).select("n", "fault", access.credential_names("role", "APP_USER", "APP_PASSWORD")["password"].alias("variable"))
+
+
+def golden_trusted(spark, sf_dir):
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(["https://www.s.example/login", "https://s.example.evil.net/login", "https://login.other.net/oauth2/authorize?client_id=3", "http://s.example:8080/login", None])], "n long, url string")
+    return access.trusted_targets(rows, spark.createDataFrame([("https://s.example/",)], "url string")).select("n", "trusted")
+
+
+def golden_coverage(spark, sf_dir):
+    store = healing.fingerprints(page_elements(spark).where("page_id in (1, 5)"))
+    return healing.coverage(pages(spark).where("page_id in (1, 2, 5)"), store)
+
+
+def golden_explained(spark, sf_dir):
+    """Signals of a button against itself."""
+    old = healing.fingerprints(page_elements(spark).where("page_id = 1")).where("element_role = 'button:sign-in'")
+    pair = healing.scored(old.select(F.struct(*healing.FIELDS).alias("old"), F.struct(*healing.FIELDS).alias("new")))
+    return pair.select(F.explode(healing.explained()).alias("signal", "similarity"))
+
+
 FOUND = (
     golden_ids, golden_urls, golden_masks, golden_text, golden_paths, golden_similarity, golden_elements, golden_roles, golden_counts, golden_types, golden_login, golden_clicks, golden_click_totals, golden_specs, golden_heal,
     golden_changes, golden_frames, golden_frontier, golden_manifest, golden_manifest_counts, golden_roles_compared, golden_delivery, golden_payload,
+    golden_signatures, golden_role_names, golden_trusted, golden_coverage, golden_explained,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in FOUND}
 
@@ -451,4 +483,49 @@ SQL: dict[str, str] = {
         '(\'{"event":"page_discovered","run_id":"r1","timestamp":"2026-01-02T03:04:05.000Z","data":{"url":"u"},"role":"admin"}\')',
         '(\'{"event":"page_discovered","run_id":"r1","timestamp":"2026-01-02T03:04:05.000Z","data":{"url":"u"}}\')',
     ),
+    "golden_signatures": _rows(
+        "short VARCHAR, long VARCHAR",
+        "('sha256=5bdcc146bf60754e6a042426089575c75a003f089d2739839dec58b964ec3843', 'sha256=60e431591ee0b67f0d8a26aacbf5b77f8e0bc6213728c5140546040f0ee37f54')",
+    ),
+    "golden_role_names": _rows(
+        "n BIGINT, fault VARCHAR, variable VARCHAR",
+        "(0, NULL, 'APP_PASSWORD_ADMIN')",
+        "(1, NULL, 'APP_PASSWORD_READ_ONLY')",
+        "(2, 'clash', 'APP_PASSWORD_READ_ONLY')",
+        "(3, 'repeated', 'APP_PASSWORD_ADMIN')",
+        "(4, 'invalid', 'APP_PASSWORD_ADMIN')",
+        "(5, 'reserved', 'APP_PASSWORD_PAGES')",
+        "(6, 'invalid', 'APP_PASSWORD_9LIVES')",
+        "(7, 'invalid', NULL)",
+        "(8, NULL, 'APP_PASSWORD_GUEST')",
+        "(9, 'invalid', 'APP_PASSWORD_AAAAAAAAAAAAAAAAAAAAAAAAAAAAAAAAA')",
+    ),
+    "golden_trusted": _rows(
+        "n BIGINT, trusted BOOLEAN",
+        "(0, true)",
+        "(1, false)",
+        "(2, true)",
+        "(3, true)",
+        "(4, false)",
+    ),
+    "golden_coverage": _rows(
+        "page_url VARCHAR, stored BIGINT",
+        "('https://x.org/login', 4)",
+        "('https://x.org/orders', 0)",
+        "('https://x.org/contact', 4)",
+    ),
+    "golden_explained": _rows(
+        "signal VARCHAR, similarity DOUBLE",
+        "('stable_attr', NULL)",
+        "('name', NULL)",
+        "('text', 1.0)",
+        "('aria_label', NULL)",
+        "('label', NULL)",
+        "('attributes', 1.0)",
+        "('dom_path', 1.0)",
+        "('id', NULL)",
+        "('classes', NULL)",
+        "('parent', 1.0)",
+        "('sibling_index', 1.0)",
+    ),
 }

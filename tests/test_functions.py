@@ -1,10 +1,14 @@
 """URL, id and text functions on the cases that pin their semantics."""
 
+import hmac
+
 import pytest
 from pyspark.sql import functions as F
 
 from sitelode.functions import text as T
 from sitelode.functions import urls as U
+from sitelode.operators import access
+from sitelode.streaming import outbox
 
 
 def one(spark, column, **values):
@@ -48,3 +52,22 @@ def test_text(spark):
     assert T.similarity_of("Sign in", "sign  IN") == 1 and T.similarity_of("abc", "xyz") == 0
     rows = spark.createDataFrame([("Sign in", "sign  in"), ("Log in", "Login"), ("a", None), (None, None)], "a string, b string").select(T.text_similarity("a", "b").alias("s")).collect()
     assert [r.s for r in rows] == [1.0, T.similarity_of("Log in", "Login"), None, None]
+
+
+def test_secret_paths():
+    config = {"crawl": {"api_key": 1, "urls": [{"url": "u"}, {"Password": "x", "inner": {"loginToken": 2}}]}, "mode": "guided"}
+    assert list(access.secret_paths(config)) == ["crawl.api_key", "crawl.urls[1].Password", "crawl.urls[1].inner.loginToken"]
+    assert not list(access.secret_paths({"mode": "guided", "roles": ["a"]})) and not list(access.secret_paths(None))
+
+
+def test_signature_of_nulls_and_any_text(spark):
+    texts = ["", "ä€\n", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "n long, body string")
+    got = {r["n"]: r["s"] for r in rows.select("n", outbox.signature("clé", "body").alias("s")).collect()}
+    assert got == {i: t if t is None else "sha256=" + hmac.new("clé".encode(), t.encode(), "sha256").hexdigest() for i, t in enumerate(texts)}
+
+
+def test_access_over_empty_tables(spark):
+    assert access.role_faults(spark.createDataFrame([], "n long, role string")).count() == 0
+    urls = spark.createDataFrame([("https://s.example/",)], "url string")
+    assert access.trusted_targets(urls, urls.limit(0)).collect()[0]["trusted"] is False
