@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import sequence_ratio, text_similarity, xpath_tags
 from ..functions.urls import normalize_id, normalize_url
+from ..scratch import kept
 from .roles import STABLE_ATTRIBUTES, assign_roles, visible
 
 # What must be equal for equal results.
@@ -19,6 +20,7 @@ VOLATILE = (
 COVERED = (*STABLE_ATTRIBUTES, "aria-label", "class", "id", "name")
 VOLATILE_PREFIXES = ("data-v-", "_ngcontent", "_nghost", "ng-", "data-react", "data-emotion")
 THRESHOLD, MARGIN, EVIDENCE_TARGET, AGREEMENT, MIN_EVIDENCE, MEANING = 0.5, 0.05, 0.5, 0.9, 0.2, 0.6
+MOST_TAGS = 1000
 CANVAS_SHARE, CANVAS_AREA, CANVAS_CONTROLS = 0.4, 90_000, 3
 FIELDS = ("tag", "id", "id_normalized", "name", "classes", "attributes", "text_content", "xpath", "css_selector", "iframe_path", "shadow_path", "dom_context")
 
@@ -185,57 +187,112 @@ def _as_struct(name: str) -> Column:
     return F.struct(*FIELDS).alias(name)
 
 
-def resolve(store: DataFrame, elements: DataFrame, threshold: float = THRESHOLD, margin: float = MARGIN) -> DataFrame:
-    """Where each fingerprint's element is in a snapshot of its page.
+def _side(df: DataFrame, name: str, *keep: str) -> DataFrame:
+    """The fields under names of their own: unlike those of a struct, what isn't read doesn't travel."""
+    return df.select(*keep, *(F.col(f).alias(f"{name}_{f}") for f in FIELDS))
 
-    Locators are tried by equality in their order: one that finds a single element of a frame is taken, the first
-    one at once if its kind is trusted, others if the element resembles the stored one. What no locator finds is
-    compared with every element of its tag on the page; a best one below the threshold, or with a rival close
-    behind, is refused. Gives (page_url, element_role, outcome, kind, strategy, confidence, reason, doc_idx, old, new).
+
+def _scored_sides(pairs: DataFrame) -> DataFrame:
+    return scored(pairs.withColumns({name: F.struct(*(F.col(f"{name}_{f}").alias(f) for f in FIELDS)) for name in ("old", "new")}))
+
+
+def _tags(df: DataFrame, tag: str) -> list | None:
+    """The distinct tags, where they are few enough to be named in a filter."""
+    met = [r[0] for r in df.select(tag).distinct().limit(MOST_TAGS + 1).collect()]
+    return met if len(met) <= MOST_TAGS else None
+
+
+def _of_tags(elements: DataFrame, met: list | None) -> DataFrame:
+    """The elements of the tags met: what can't be compared doesn't travel."""
+    if met is None:
+        return elements
+    named = F.col("tag").isin(*(t for t in met if t is not None))
+    return elements.where(named | F.col("tag").isNull() if None in met else named)
+
+
+def _tries(store: DataFrame, elements: DataFrame) -> DataFrame:
+    """(page_url, element_role, tries): the locators, by rank k, that find a single element of a frame, with its doc_idx and tag.
+
+    Both sides travel once, by page; what is grouped afterwards is of one page.
+    """
+    frame = F.array_join("iframe_path", "/").alias("frame")
+    bare = lambda l: F.struct(l["strategy"].alias("strategy"), l["raw"].alias("raw"), (l["kind"] == "text").alias("tagged"))
+    normal = F.when(F.col("id_normalized").isNotNull(), F.struct(F.lit("normalized_id").alias("strategy"), F.col("id_normalized").alias("raw"), F.lit(False).alias("tagged")))
+    marks = F.concat(F.transform(F.filter(locators(), lambda l: l["strategy"] != "normalized_id"), bare), F.filter(F.array(normal), lambda l: l.isNotNull()))
+    asked = store.select(F.lit(True).alias("asks"), "page_url", "element_role", F.lit(None).cast("int").alias("doc_idx"), frame, "tag", F.transform(locators(), bare).alias("ls"))
+    found = elements.select(F.lit(False).alias("asks"), "page_url", F.lit(None).cast("string").alias("element_role"), F.col("doc_idx").cast("int").alias("doc_idx"), frame, "tag", marks.alias("ls"))
+    both = asked.where("element_role is not null").unionByName(found).where("page_url is not null").repartition("page_url")
+    each = both.select("*", F.posexplode("ls").alias("k", "l")).select("*", "l.*").withColumn("t", F.when(F.col("tagged"), F.col("tag")))
+    met = each.groupBy("page_url", "strategy", "raw", "t").agg(
+        F.collect_list(F.when(F.col("asks"), F.struct("element_role", "k", "frame"))).alias("askers"), F.array_sort(F.collect_list(F.when(~F.col("asks"), F.struct("frame", "doc_idx", "tag")))).alias("places")
+    ).where((F.size("askers") > 0) & (F.size("places") > 0))
+
+    def alone(x: Column, i: Column) -> Column:
+        """Whether no neighbour in the order is of the same frame."""
+        before, after = F.get("places", i - 1), F.get("places", i + 1)
+        return ~F.coalesce((i > 0) & before["frame"].eqNullSafe(x["frame"]), F.lit(False)) & ~((i + 1 < F.size("places")) & after["frame"].eqNullSafe(x["frame"]))
+
+    single = met.select("page_url", "strategy", F.filter("places", alone).alias("places"), F.explode("askers").alias("a"))
+    mine = F.filter("places", lambda x: (F.col("a.frame") == "") | (x["frame"] == F.col("a.frame")))
+    first = F.array_min(F.transform(mine, lambda x: F.struct(x["doc_idx"].alias("doc_idx"), x["tag"].alias("tag"))))
+    hits = single.select("page_url", "a.element_role", "a.k", "strategy", first.alias("p")).where("p is not null")
+    return hits.groupBy("page_url", "element_role").agg(F.array_sort(F.collect_list(F.struct("k", "strategy", "p.doc_idx", "p.tag"))).alias("tries"))
+
+
+def outcomes(store: DataFrame, elements: DataFrame, threshold: float = THRESHOLD, margin: float = MARGIN) -> DataFrame:
+    """resolve() without the two sides: (page_url, element_role, outcome, kind, strategy, confidence, reason, doc_idx).
+
+    What one step leaves to the next is written, so that no plan holds more than one step.
     """
     key = ["page_url", "element_role"]
-    live = elements.select("page_url", "doc_idx", "tag", "iframe_path", _as_struct("new"))
-    marks = elements.select("page_url", "doc_idx", F.array_join("iframe_path", "/").alias("_frame"), "tag", F.explode(locators()).alias("l")).select("page_url", "doc_idx", "_frame", F.col("l.strategy").alias("strategy"), F.col("l.raw").alias("raw"), F.when(F.col("l.kind") == "text", F.col("tag")).alias("_t"))
-    normal = elements.where(F.col("id_normalized").isNotNull()).select("page_url", "doc_idx", F.array_join("iframe_path", "/").alias("_frame"), F.lit("normalized_id").alias("strategy"), F.col("id_normalized").alias("raw"), F.lit(None).cast("string").alias("_t"))
-    marks = marks.where("strategy <> 'normalized_id'").unionByName(normal)
-    asked = store.select(*key, "tag", F.array_join("iframe_path", "/").alias("_at"), F.posexplode(locators()).alias("k", "l")).select(*key, "k", "_at", F.col("l.strategy").alias("strategy"), F.col("l.raw").alias("raw"), F.when(F.col("l.kind") == "text", F.col("tag")).alias("_t"))
-    hits = asked.join(marks, ["page_url", "strategy", "raw"]).where(asked["_t"].eqNullSafe(marks["_t"]) & ((F.col("_at") == "") | (F.col("_at") == F.col("_frame"))))
-    single = hits.groupBy(*key, "k", "strategy", "_frame").agg(F.count("*").alias("n"), F.min("doc_idx").alias("doc_idx")).where("n = 1")
-    single = single.groupBy(*key, "k", "strategy").agg(F.min("doc_idx").alias("doc_idx"))
-    held = store.select(*key, _as_struct("old"))
-    trusted = (F.col("k") == 0) & F.substring_index("strategy", ":", 1).isin(*TRUSTED)
-    places = live.select("page_url", "doc_idx", "new")
-    sure = single.where(trusted).join(held, key).join(places, ["page_url", "doc_idx"]).select(
-        *key, F.lit("exact").alias("outcome"), F.lit(None).cast("string").alias("kind"), "strategy", F.lit(None).cast("double").alias("confidence"), F.lit(None).cast("string").alias("reason"), "doc_idx", "old", "new"
-    )
-    open_ = single.join(sure.select(key), key, "left_anti")
-    found = scored(open_.join(held, key).join(places, ["page_url", "doc_idx"]))
+    nothing = F.lit(None).cast("string")
+    tries = kept(_tries(store, elements))
+    best_try = F.col("tries")[0]
+    trusted = (best_try["k"] == 0) & F.substring_index(best_try["strategy"], ":", 1).isin(*TRUSTED)
+    sure = tries.where(trusted).select(*key, F.lit("exact").alias("outcome"), nothing.alias("kind"), best_try["strategy"].alias("strategy"), F.lit(None).cast("double").alias("confidence"), best_try["doc_idx"].alias("doc_idx"))
+    open_ = tries.where(~trusted).select(*key, F.explode("tries").alias("l")).select(*key, "l.*")
+    held, live = _side(store, "old", *key), elements.select("*", F.col("tag").alias("_tag"))
+    places = _side(_of_tags(live, _tags(open_, "tag")), "new", "page_url", "doc_idx")
+    found = _scored_sides(open_.drop("tag").join(held, key).join(places, ["page_url", "doc_idx"]))
     found = found.withColumn("offered", F.least(F.lit(1.0), offered("old") / EVIDENCE_TARGET))
     holds = (F.col("offered") >= MIN_EVIDENCE) & (F.col("evidence") >= F.col("offered") - 1e-4) & (F.col("raw") >= max(AGREEMENT, threshold))
-    taken = found.where((F.col("confidence") >= threshold) | holds)
-    first = F.row_number().over(Window.partitionBy(*key).orderBy("k"))
-    taken = taken.withColumn("_n", first).where("_n = 1").select(
-        *key, F.when(F.col("k") == 0, "exact").otherwise("healed").alias("outcome"), F.when(F.col("k") > 0, "fallback").alias("kind"), "strategy", "confidence",
-        F.lit(None).cast("string").alias("reason"), "doc_idx", "old", "new",
-    )
-    taken = sure.unionByName(taken)
-    left = held.join(taken.select(key), key, "left_anti")
-    others = live.select("page_url", F.col("tag").alias("_tag"), "doc_idx", "new")
-    by_tag = left.where("old.tag is not null").withColumn("_tag", F.col("old.tag")).join(others, ["page_url", "_tag"])
-    untagged = left.where("old.tag is null").join(others, "page_url")  # rare: elements of any tag compare
-    rivals = scored(by_tag.unionByName(untagged.select(by_tag.columns)))
+    taken = found.where((F.col("confidence") >= threshold) | holds).groupBy(key).agg(F.min(F.struct("k", "strategy", "confidence", "doc_idx")).alias("l")).select(*key, "l.*")
+    taken = taken.select(*key, F.when(F.col("k") == 0, "exact").otherwise("healed").alias("outcome"), F.when(F.col("k") > 0, "fallback").alias("kind"), "strategy", "confidence", "doc_idx")
+    taken = kept(sure.unionByName(taken)).withColumn("reason", nothing)
+    left = kept(store.select(*key, "tag").join(taken.select(key), key, "left_anti"))
+    met = _tags(left, "tag")
+    asking = left.where("tag is not null").withColumnRenamed("tag", "_tag").join(held, key)
+    others = _side(_of_tags(live, met), "new", "page_url", "_tag", "doc_idx")
+    rivals = asking.join(others, ["page_url", "_tag"])
+    if met is None or None in met:  # rare: elements of any tag compare
+        untagged = left.where("tag is null").drop("tag").join(held, key).join(_side(live, "new", "page_url", "_tag", "doc_idx"), "page_url")
+        rivals = rivals.unionByName(untagged)
     by = Window.partitionBy(*key).orderBy(F.desc("confidence"), "doc_idx")
-    best = rivals.withColumn("_n", F.row_number().over(by)).withColumn("_rival", F.lead("confidence").over(by)).where("_n = 1").select(*key, "confidence", "_rival", "doc_idx", "new")
-    best = left.join(best, key, "left").join(canvas_pages(elements).withColumn("_drawn", F.lit(True)), "page_url", "left")
+    best = _scored_sides(rivals).select(*key, "confidence", "doc_idx").withColumn("_n", F.row_number().over(by)).withColumn("_rival", F.lead("confidence").over(by)).where("_n = 1").drop("_n")
+    best = left.select(key).join(best, key, "left").join(canvas_pages(elements).withColumn("_drawn", F.lit(True)), "page_url", "left")
     weak = F.col("confidence").isNull() | (F.col("confidence") < threshold)
     close = (F.col("_rival") >= threshold) & (F.col("confidence") - F.col("_rival") < margin)
     refused = weak | F.coalesce(close, F.lit(False))
     reason = F.when(refused, F.when(F.col("_drawn"), "unsupported_rendering").when(weak, "below_threshold").otherwise("ambiguous"))
     rest = best.select(
         *key, F.when(refused, "failed").otherwise("healed").alias("outcome"), F.when(~refused, "scored").alias("kind"), F.when(~refused, "weighted_score").alias("strategy"), "confidence",
-        reason.alias("reason"), F.when(~refused, F.col("doc_idx")).alias("doc_idx"), "old", F.when(~refused, F.col("new")).alias("new"),
+        F.when(~refused, F.col("doc_idx")).alias("doc_idx"), reason.alias("reason"),
     )
-    return taken.unionByName(rest)
+    return taken.unionByName(rest).select(*key, "outcome", "kind", "strategy", "confidence", "reason", "doc_idx")
+
+
+def resolve(store: DataFrame, elements: DataFrame, threshold: float = THRESHOLD, margin: float = MARGIN) -> DataFrame:
+    """Where each fingerprint's element is in a snapshot of its page. The store has one row a key, as record() leaves it.
+
+    Locators are tried by equality in their order: one that finds a single element of a frame is taken, the first
+    one at once if its kind is trusted, others if the element resembles the stored one. What no locator finds is
+    compared with every element of its tag on the page; a best one below the threshold, or with a rival close
+    behind, is refused. Gives (page_url, element_role, outcome, kind, strategy, confidence, reason, doc_idx, old, new).
+    """
+    o = outcomes(store, elements, threshold, margin)
+    held = store.select(F.col("page_url").alias("_p"), F.col("element_role").alias("_r"), _as_struct("old"))
+    both = o.join(held, F.col("page_url").eqNullSafe(F.col("_p")) & F.col("element_role").eqNullSafe(F.col("_r"))).drop("_p", "_r")
+    return both.join(elements.select("page_url", "doc_idx", _as_struct("new")), ["page_url", "doc_idx"], "left").select(*o.columns, "old", "new")
 
 
 def changes(pairs: DataFrame, old: str = "old", new: str = "new") -> DataFrame:

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sitelode.operators import classify, discovery, elements, forms, healing, roles, rolediff, scripts
+from sitelode.plans import queries
 from sitelode.sources import documents, html
 from sitelode.streaming import outbox
 
@@ -112,6 +113,16 @@ def test_healing(spark, pages):
     assert other.change_kind == "regression" and other.changed_fields == ["text_content"]
 
 
+def test_heal_resolve(spark, tmp_path):
+    """Each fingerprint counts once, also of two captures of one URL, and the driver plans a step at a time."""
+    rows = [(1, "https://x.org/login", LOGIN), (2, "https://x.org/login", LOGIN), (3, "https://x.org/", NAV)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    found = queries.heal_resolve(spark, str(tmp_path))
+    got = found.collect()
+    assert sum(r.n for r in got) == 16 and {r.outcome for r in got} == {"exact"}
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join ") < 10  # 47 with the steps in one plan
+
+
 def test_store(spark, pages, tmp_path):
     store = healing.fingerprints(pages.where("page_id = 1"))
     again, summary = healing.record(store, healing.fingerprints(pages.where("page_id in (1, 3)")))
