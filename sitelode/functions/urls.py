@@ -161,8 +161,14 @@ def href_tail(href: Column | str) -> Column:
     return F.nullif(F.substring_index(F.rtrim(F.regexp_replace(column(href), r"[?#][\s\S]*$", ""), F.lit("/")), "/", -1), F.lit(""))
 
 
-def output_file(index: Column | str, url: Column | str) -> Column:
+def page_slug(url: Column | str) -> Column:
+    """What of a URL stands in a file's name; '' where nothing can."""
     text = F.lower(F.concat(url_part(url, "netloc"), url_part(url, "path"), F.lit(" "), url_part(url, "query")))
     slug = F.btrim(F.regexp_replace(text, "[^a-z0-9.]+", "-"), F.lit("-."))
-    slug = F.rtrim(F.substring(slug, 1, 60), F.lit("-."))
-    return F.format_string("pages/%04d-%s.json", column(index).cast("int"), F.when(slug == "", "page").otherwise(slug))
+    return F.rtrim(F.substring(slug, 1, 60), F.lit("-."))
+
+
+def output_file(index: Column | str, url: Column | str) -> Column:
+    """The file of a page: its whole number, of four digits at least, and its slug."""
+    slug = page_slug(url)
+    return F.format_string("pages/%04d-%s.json", column(index).cast("long"), F.when(slug == "", "page").otherwise(slug))

@@ -2,6 +2,7 @@
 
 import json
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -123,6 +124,19 @@ def test_heal_resolve(spark, tmp_path):
     assert found._jdf.queryExecution().optimizedPlan().toString().count("Join ") < 10  # 47 with the steps in one plan
 
 
+def test_resume_set(spark, tmp_path):
+    """As its SQL: numbers of more than four digits, marks of a query or a path elsewhere in the URL, no URL."""
+    urls = ["http://h.org/fr/a", "http://h.org/fr/a?b=1", "http://h.org/fr/a?", "http://h.org/fr/a#x?y", "http://h.org/en/a?to=/fr/b", "http://h.org/de/" + "long-" * 20, "", None]
+    rows = [(n + i, u) for n in (0, 9996, 12345, 2**31) for i, u in enumerate(urls)]
+    spark.createDataFrame(rows, "page_id long, url string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    with duckdb.connect() as db:
+        db.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+        want = db.execute(queries.SQL["resume_set"]).fetchall()
+    assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in queries.resume_set(spark, str(tmp_path)).collect())
+    names = spark.createDataFrame([(7,), (10000,), (2**31,)], "n long").select(discovery.output_file("n", F.lit("http://h.org/a")).alias("f"))
+    assert [r.f for r in names.collect()] == ["pages/0007-h.org-a.json", "pages/10000-h.org-a.json", "pages/2147483648-h.org-a.json"]
+
+
 def test_store(spark, pages, tmp_path):
     store = healing.fingerprints(pages.where("page_id = 1"))
     again, summary = healing.record(store, healing.fingerprints(pages.where("page_id in (1, 3)")))
